@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from shelfmark.registry import alert_queries, mart_queries  # noqa: F401
+    from shelfmark.registry import alert_queries, load_queries, mart_queries, trade_queries  # noqa: F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,11 +65,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared checkpoint folder, grouped by application."""
+    return f"{ensure_checkpoint_dir(spark)}/shelfmark-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written copy.
 
     Used where a loop would otherwise grow its lineage every round, and where a value that
-    depends on the physical layout (a range-partition number) must stay the same for every reader.
+    depends on the physical layout (a range-partition number) must stay the same for every
+    reader. A written table also survives lost executors and tells the optimizer its size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
