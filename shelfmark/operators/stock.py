@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -70,21 +71,26 @@ class StockResult(NamedTuple):
     products: DataFrame
 
 
-def _fold_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Apply one product's adjustments of one chunk in order, skipping those that do not fit."""
-    rows = rows.sort_values("_pos")
-    on_hand = int(rows["_before"].iloc[0])
-    before, accepted = [], []
-    for delta in rows["_delta"].tolist():
-        fits = on_hand + delta >= 0
-        before.append(on_hand)
-        accepted.append(fits)
-        on_hand += delta if fits else 0
-    rows["quantity_before"], rows["accepted"] = before, accepted
-    return rows[["store_id", "product_id", CHUNK, "_pos", "_delta", "quantity_before", "accepted"]]
+FOLDED = f"store_id string, product_id string, {CHUNK} int, _pos int, _delta bigint, quantity_before bigint, accepted boolean"
 
 
-FOLDED = f"store_id string, product_id string, {CHUNK} int, _pos int, _delta bigint, quantity_before bigint, accepted boolean"
+def _fold_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Apply adjustments in order, skipping those that do not fit. Rows come sorted by product,
+    chunk and position; the stock is carried over batch borders, so memory holds one batch."""
+    current, on_hand = None, 0
+    for rows in batches:
+        before, accepted = [], []
+        for store, product, chunk, start, delta in zip(
+            rows["store_id"], rows["product_id"], rows[CHUNK].tolist(), rows["_before"].tolist(), rows["_delta"].tolist()
+        ):
+            if (store, product, chunk) != current:
+                current, on_hand = (store, product, chunk), start
+            fits = on_hand + delta >= 0
+            before.append(on_hand)
+            accepted.append(fits)
+            if fits:
+                on_hand += delta
+        yield rows[["store_id", "product_id", CHUNK, "_pos", "_delta"]].assign(quantity_before=before, accepted=accepted)
 
 
 def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: int | None = None) -> StockResult:
@@ -126,7 +132,8 @@ def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: in
         short = chain.where(~F.col("_folded") & (F.col("_before") + F.col("_low") < 0))
         first = short.groupBy(*KEYS).agg(F.min_by(F.struct(CHUNK, "_before"), CHUNK).alias("f")).select(*KEYS, "f.*")
         to_fold = local.select(*KEYS, CHUNK, "_pos", "_delta").join(first, [*KEYS, CHUNK])
-        done = settle(to_fold.groupBy(*KEYS, CHUNK).applyInPandas(_fold_chunk, FOLDED), "folded")
+        in_turn = to_fold.repartition(*KEYS, CHUNK).sortWithinPartitions(*KEYS, CHUNK, "_pos")
+        done = settle(in_turn.mapInPandas(_fold_rows, FOLDED), "folded")
         if done.isEmpty():
             break
         folded = done if folded is None else folded.unionByName(done)
