@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.coerce import key_or_document_id, minute_snapshot_id, money, text_or_null
 from shelfmark.functions.shaping import flat_lines
-from shelfmark.sources.tables import Warehouse
+from shelfmark.sources.tables import Warehouse, Written
 from shelfmark.sources.windows import any_changed_between, changed_between
 
 ALERT_INSTANTS = ("created_at", "last_evaluated_at", "acknowledged_at", "resolved_at")
@@ -90,8 +90,8 @@ def shape_window(source, since, until) -> dict[str, DataFrame]:
     }
 
 
-def load_window(warehouse: Warehouse, source, since, until) -> dict[str, int]:
-    """Upsert the window into the raw tables; returns the rows written per table.
+def load_window(warehouse: Warehouse, source, since, until) -> dict[str, Written]:
+    """Upsert the window into the raw tables; returns what was written per table.
 
     The counts come from the written files. Loading a window again changes nothing.
     """

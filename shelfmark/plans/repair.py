@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.operators import ledger
 from shelfmark.plans import raw_load, refresh
 from shelfmark.functions.timing import instant
-from shelfmark.sources.tables import Warehouse
+from shelfmark.sources.tables import Warehouse, Written
 from shelfmark.sources.windows import changed_in_store_windows
 
 
@@ -29,11 +31,11 @@ def shape_store_windows(source: dict[str, DataFrame], windows: DataFrame) -> dic
     }
 
 
-def load_store_windows(warehouse: Warehouse, source: dict[str, DataFrame], windows: DataFrame) -> dict[str, int]:
+def load_store_windows(warehouse: Warehouse, source: dict[str, DataFrame], windows: DataFrame) -> dict[str, Written]:
     return {name: warehouse.upsert(name, frame) for name, frame in shape_store_windows(source, windows).items()}
 
 
-def run_sync(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) -> dict[str, int]:
+def run_sync(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) -> dict[str, Written]:
     """Load every idle store's next window and write the runs to the ledger. A failed load leaves
     FAILED runs and dead letters behind and moves no window."""
     runs = warehouse.read("pipeline_runs")
@@ -46,16 +48,12 @@ def run_sync(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) -> di
     mine = warehouse.read("pipeline_runs").where(
         (F.col("status") == "RUNNING") & (F.col("run_type") == ledger.SYNC) & (F.col("started_at") == instant(as_of)))
     try:
-        shaped = shape_store_windows(source, mine)
-        written = {name: warehouse.upsert(name, frame) for name, frame in shaped.items()}
+        written = load_store_windows(warehouse, source, mine)
     except Exception as error:
         close_failed(warehouse, mine, stage="RAW_LOAD", error=error, as_of=as_of)
         raise
-    per_store = None
-    for name, frame in shaped.items():
-        rows = frame.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
-        per_store = rows if per_store is None else per_store.unionByName(rows)
-    totals = per_store.groupBy("store_id").agg(F.sum("n").alias("records_written"))
+    per_store = reduce(DataFrame.unionByName, [w.per_store for w in written.values()])
+    totals = per_store.groupBy("store_id").agg(F.sum("rows").alias("records_written"))
     counts = mine.select("store_id", "pipeline_run_id").join(totals, "store_id", "left").select(
         "pipeline_run_id", F.coalesce("records_written", F.lit(0)).alias("records_read"),
         F.coalesce("records_written", F.lit(0)).alias("records_written"))

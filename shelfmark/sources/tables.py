@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from shelfmark.schemas import TABLES
+from shelfmark.session import settle
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,17 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], *, kee
     return kept.unionByName(source.select(*columns))
 
 
+class Written:
+    """How many rows an upsert was given, per store and in all."""
+
+    def __init__(self, per_store: DataFrame):
+        self.per_store = per_store
+
+    @property
+    def rows(self) -> int:
+        return int(self.per_store.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+
+
 class DuplicateKeys(ValueError):
     """The source of an upsert holds a key twice, so "the" new row is not defined."""
 
@@ -114,6 +126,11 @@ class Warehouse:
         fs, path = self._filesystem(self.path(name))
         return fs.exists(path)
 
+    def is_complete(self, path: str) -> bool:
+        """Whether a job has finished writing ``path``."""
+        fs, marker = self._filesystem(f"{path}/_SUCCESS")
+        return fs.exists(marker)
+
     # --- reading and creating
 
     def schema(self, name: str) -> T.StructType:
@@ -179,10 +196,10 @@ class Warehouse:
         """Audit and event rows: only ever added."""
         self._put(name, self._conform(name, rows), "append")
 
-    def upsert(self, name: str, rows: DataFrame, *, run_id: str | None = None, check_keys: bool = True) -> int:
+    def upsert(self, name: str, rows: DataFrame, *, run_id: str | None = None, check_keys: bool = True) -> Written:
         """Replace rows of equal key, add the others, remove none. Declared columns that ``rows`` does
-        not have keep their stored value. Returns the number of rows given. ``run_id`` names the
-        staging folder; hand it to :meth:`publish` if a failure came between staging and publishing."""
+        not have keep their stored value. ``run_id`` names the staging folder; hand it to
+        :meth:`publish` if a failure came between staging and publishing."""
         layout = LAYOUTS[name]
         run_id = run_id or uuid.uuid4().hex
         given = [f.name for f in self.schema(name).fields if f.name in rows.columns]
@@ -200,10 +217,10 @@ class Warehouse:
         merged = merge_rows(touched.select(*columns), source, layout.keys, keep_stored=missing)
         self._stage(merged, run_id, name)
         self.publish(name, run_id)
-        # No column is read for this: the footers of the files just written hold the counts.
-        written = source.count()
+        # Counted from the store column of the files just written, not by running the source again.
+        counts = settle(source.groupBy("store_id").agg(F.count(F.lit(1)).alias("rows")), "counts")
         self.clear_staging(run_id, name)
-        return written
+        return Written(counts)
 
     def clear_staging(self, run_id: str, name: str) -> None:
         for leaf in (name, f"{name}_given"):
