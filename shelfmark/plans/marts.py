@@ -34,13 +34,15 @@ def sales_daily(transactions: DataFrame, *, refreshed_at=None) -> DataFrame:
 
 def product_sales_daily(items: DataFrame, *, refreshed_at=None) -> DataFrame:
     """One row per key also when a product was renamed within the day: the greatest name stands."""
-    daily = (
-        items.groupBy("store_id", F.to_date("sale_timestamp").alias("sales_date"), "product_id")
-        .agg(
-            F.max("product_name").alias("product_name"),
-            F.sum("quantity").alias("quantity_sold"),
-            money(F.sum(money("line_total"))).alias("revenue"),
-        )
+    # The raw rows are summed per name first: a maximum over text would make Spark sort them all.
+    per_name = (
+        items.groupBy("store_id", F.to_date("sale_timestamp").alias("sales_date"), "product_id", "product_name")
+        .agg(F.sum("quantity").alias("_units"), F.sum(money("line_total")).alias("_revenue"))
+    )
+    daily = per_name.groupBy("store_id", "sales_date", "product_id").agg(
+        F.max("product_name").alias("product_name"),
+        F.sum("_units").alias("quantity_sold"),
+        money(F.sum("_revenue")).alias("revenue"),
     )
     return _stamp(daily, refreshed_at)
 

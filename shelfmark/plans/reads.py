@@ -206,16 +206,18 @@ def live_sales_trend(transactions: DataFrame, *, as_of, days: int = 30, granular
 
 
 def live_product_performance(items: DataFrame, *, k: int = 50) -> DataFrame:
-    totals = (
+    per_name = (
         items.where(F.coalesce("product_id", F.lit("")) != "")
-        .groupBy("store_id", "product_id")
+        .groupBy("store_id", "product_id", F.nullif("product_name", F.lit("")).alias("_name"))
         .agg(
-            F.max(F.nullif("product_name", F.lit(""))).alias("_name"),
-            F.sum(F.coalesce("quantity", F.lit(0))).alias("quantity_sold"),
-            money(F.sum(F.coalesce(money("line_total"), money(F.lit(0))))).alias("revenue"),
+            F.sum(F.coalesce("quantity", F.lit(0))).alias("_units"),
+            F.sum(F.coalesce(money("line_total"), money(F.lit(0)))).alias("_revenue"),
         )
-        .select("store_id", "product_id", F.coalesce("_name", "product_id").alias("product_name"),
-                "quantity_sold", "revenue")
+    )
+    totals = per_name.groupBy("store_id", "product_id").agg(
+        F.coalesce(F.max("_name"), "product_id").alias("product_name"),
+        F.sum("_units").alias("quantity_sold"),
+        money(F.sum("_revenue")).alias("revenue"),
     )
     return top_per(totals, ["store_id"], [F.desc("revenue"), F.asc("product_name"), F.asc("product_id")], k)
 
