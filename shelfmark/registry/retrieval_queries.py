@@ -112,7 +112,12 @@ VECTOR_QUESTIONS = """, vq AS (SELECT e.store_id, e.product_id AS query_id, 'tel
  scored AS (SELECT a.store_id, a.query_id, s.product_id, {SCORE} AS lex FROM asked a JOIN shelf s ON s.store_id = a.store_id),
  merged AS (SELECT s.store_id, s.query_id, s.product_id, h.d, CASE WHEN h.d IS NULL THEN lex ELSE
    greatest(lex, 0.65::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - h.d))) END AS score
-  FROM scored s LEFT JOIN hits h ON h.store_id = s.store_id AND h.query_id = s.query_id AND h.product_id = s.product_id)
+  FROM scored s LEFT JOIN hits h ON h.store_id = s.store_id AND h.query_id = s.query_id AND h.product_id = s.product_id
+  UNION ALL
+  SELECT store_id, query_id, product_id, d, greatest({SCORE}, 0.55::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - d)))
+  FROM (SELECT h.store_id, h.query_id, h.product_id, h.d, a.qn, a.toks, '' AS pn, '' AS pc, {NORMAL.format('h.product_id')} AS pid
+   FROM hits h JOIN asked a ON a.store_id = h.store_id AND a.query_id = h.query_id
+   WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.store_id = h.store_id AND p.product_id = h.product_id)))
  SELECT store_id, query_id, product_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
   PARTITION BY store_id, query_id ORDER BY score DESC, product_id) AS r FROM merged) WHERE r <= 4""")
 def _(spark, d):

@@ -34,16 +34,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     """(rows of the declared types, lines that are no JSON). A value that does not fit its type is NULL."""
     declared = T.StructType.fromDDL(schema)
     loose = _loose(declared).add(CORRUPT, T.StringType())
-    read = (
-        spark.read.schema(loose)
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, primitivesAsString="true")
-        .json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = lines.select(
+        "value", F.from_json("value", loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("row"))
+    broken = F.col(f"row.{CORRUPT}").isNotNull()
+    rows = read.where(~broken).select(
+        *[_typed(f.dataType, F.col(f"row.{f.name}")).alias(f.name) for f in declared.fields]
     )
-    rows = read.where(F.col(CORRUPT).isNull()).select(
-        *[_typed(f.dataType, F.col(f.name)).alias(f.name) for f in declared.fields]
-    )
-    # Spark refuses to read the corrupt column alone from JSON; with another column it is fine.
-    broken = read.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), *[
-        F.col(declared.fields[0].name).alias("first_field")
-    ]).drop("first_field")
-    return rows, broken
+    return rows, read.where(broken).select(F.col("value").alias("line"))
