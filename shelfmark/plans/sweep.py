@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.operators import alert_rules
@@ -12,17 +10,8 @@ from shelfmark.schemas import ALERT_TYPES
 
 
 def rule_rows(kinds, products: DataFrame, items: DataFrame | None, *, as_of) -> DataFrame:
-    """The chosen rules' rows in one frame."""
-    builders = {
-        "LOW_STOCK": lambda: alert_rules.low_stock(products),
-        "EXPIRY_SOON": lambda: alert_rules.expiry_soon(products, as_of=as_of),
-        "NOT_SELLING": lambda: alert_rules.not_selling(products, items, as_of=as_of),
-        "HIGH_DEMAND": lambda: alert_rules.high_demand(products, items, as_of=as_of),
-    }
-    unknown = [k for k in kinds if k not in builders]
-    if unknown:
-        raise ValueError(f"sweep kinds must be among {sorted(builders)}, got {unknown}")
-    return reduce(DataFrame.unionByName, [builders[k]() for k in kinds])
+    """The chosen rules' rows in one frame, from one pass over products and sales."""
+    return alert_rules.evaluate(kinds, products, items, as_of=as_of)
 
 
 def sweep(kinds, products: DataFrame, items: DataFrame | None, alerts: DataFrame, *, as_of) -> AlertChanges:

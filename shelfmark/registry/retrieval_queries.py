@@ -11,6 +11,7 @@ from shelfmark.operators.alert_book import relevant_alerts
 from shelfmark.plans import answers, briefing, reads
 from shelfmark.registry import query
 from shelfmark.registry.mart_queries import SALES, SUMMARY, DASHBOARDS, _dashboards, _product_sales, _sales, _stores, _summary
+from shelfmark.session import settle
 from shelfmark.sources import testdata as td
 from shelfmark.sources.testdata import AS_OF, sql_views
 
@@ -169,7 +170,7 @@ def _sale_heads(spark, d):
 
 @query("transaction_snapshot")
 def _(spark, d):
-    also = focus.recent_sales_of(_matches(spark, d), _lines(spark, d), on="product_id", limit=8)
+    also = focus.recent_sales_of(settle(_matches(spark, d)), _lines(spark, d), on="product_id", limit=8)
     return focus.transaction_snapshot(td.questions(spark, d), _sale_heads(spark, d), limit=8, also=also).select(
         "store_id", "query_id", "transaction_id", "focused", "rank")
 
@@ -274,7 +275,7 @@ def _text_matches(spark, d):
 
 @query("direct_answers")
 def _(spark, d):
-    facts = _facts(spark, d)
+    facts = settle(_facts(spark, d))
     asked = answers.with_intent(td.questions(spark, d))
     matched = answers.match_facts(_text_matches(spark, d), td.products(spark, d), as_of=AS_OF)
     rows = answers.direct_answers(asked, matched, briefing.briefings(facts, as_of=AS_OF), facts)
@@ -304,10 +305,10 @@ def _(spark, d):
 def _(spark, d):
     products = td.products(spark, d)
     asked = _vector_questions(spark, d)
-    hits = vectors.nearest(asked, td.embeddings(spark, d), k=6).join(
-        products.select("store_id", "product_id", F.col("name").alias("product_name"), "category"), ["store_id", "product_id"])
-    asked = answers.with_intent(asked.drop("embedding"))
-    found = hybrid.hybrid_matches(asked, products, hits)
+    hits = settle(vectors.nearest(asked, td.embeddings(spark, d), k=6).join(
+        products.select("store_id", "product_id", F.col("name").alias("product_name"), "category"), ["store_id", "product_id"]))
+    asked = settle(answers.with_intent(asked.drop("embedding")))
+    found = settle(hybrid.hybrid_matches(asked, products, hits))
     also = focus.recent_sales_of(found, _lines(spark, d), on="product_id", limit=8)
     sold = focus.transaction_snapshot(asked, _sale_heads(spark, d), limit=8, also=also)
     people = focus.customer_snapshot(asked.where("needs_customers"), td.customers(spark, d))
@@ -319,5 +320,5 @@ def _(spark, d):
 
 @query("related_products")
 def _(spark, d):
-    return answers.related_products(_matches(spark, d), relevant_alerts(td.alerts(spark, d))).select(
+    return answers.related_products(settle(_matches(spark, d)), relevant_alerts(td.alerts(spark, d))).select(
         "store_id", "query_id", "product_id", "rank")
