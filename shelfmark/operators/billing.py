@@ -55,15 +55,15 @@ def allocate(lines: DataFrame, stock: DataFrame, *, chunks: int | None = None) -
     are, so the loop ends; the undecided rows shrink from round to round. Running demand per
     product is summed by chunks, so a product that most requests ask for is no single task's work.
     """
-    pending = settle(in_order_chunks(lines, PRODUCT, ORDER, chunks), "lines")
+    def hopeless(rows: DataFrame, left: DataFrame) -> DataFrame:
+        return rows.join(left, PRODUCT).where(F.col("quantity") > F.col("_left")).select("request_id").distinct()
+
     left = settle(stock.select(*PRODUCT, F.coalesce("quantity_on_hand", F.lit(0).cast("bigint")).alias("_left")), "stock")
+    # Chunk numbers must be the same for every reader, so they are written before the first use.
+    pending = settle(in_order_chunks(lines, PRODUCT, ORDER, chunks), "lines")
+    feasible = settle(pending.join(hopeless(pending, left), "request_id", "left_anti"), "lines")
     accepted = None
-    while True:
-        priced = pending.join(left, PRODUCT)
-        hopeless = priced.where(F.col("quantity") > F.col("_left")).select("request_id").distinct()
-        feasible = settle(pending.join(hopeless, "request_id", "left_anti"), "feasible")
-        if feasible.isEmpty():
-            break
+    while not feasible.isEmpty():
         demand = running_total(feasible, PRODUCT, ORDER, "quantity", "_upto").join(left, PRODUCT)
         by_request = demand.groupBy("request_id", *KEY, *ORDER).agg(
             F.bool_and(F.col("_upto") <= F.col("_left")).alias("_fits")
@@ -86,9 +86,10 @@ def allocate(lines: DataFrame, stock: DataFrame, *, chunks: int | None = None) -
             "stock",
         )
         # The accepted request itself has its own key, so it leaves with the rest of its key.
-        pending = settle(feasible.join(sure.select(*KEY), KEY, "left_anti"), "lines")
-        if pending.isEmpty():
-            break
+        feasible = settle(
+            feasible.join(sure.select(*KEY), KEY, "left_anti").join(hopeless(feasible, left), "request_id", "left_anti"),
+            "lines",
+        )
     if accepted is None:
         return lines.select("request_id").where(F.lit(False))
     return accepted.select("request_id")
