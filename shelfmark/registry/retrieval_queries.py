@@ -158,7 +158,9 @@ def _matches(spark, d):
 
 
 def _lines(spark, d):
-    return td.items(spark, d).select("store_id", "product_id", "transaction_id", "sale_timestamp")
+    """Lines with the time of their sale: here the last of its lines' days."""
+    when = _sale_heads(spark, d).select("store_id", "transaction_id", "sale_timestamp")
+    return td.items(spark, d).select("store_id", "product_id", "transaction_id").distinct().join(when, ["store_id", "transaction_id"])
 
 
 def _sale_heads(spark, d):
