@@ -6,33 +6,49 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions.timing import day_of, instant
 from shelfmark.plans import marts
+from shelfmark.session import settle
 from shelfmark.sources.tables import Warehouse
+from shelfmark.sources.windows import changed_in_store_windows, envelope
 
 REFRESH_ORDER = ("sales_daily", "product_sales_daily", "customer_summary", "inventory_health", "dashboard_summary")
 
 
-def _touched_days(raw: DataFrame, changed: DataFrame | None) -> DataFrame:
-    """Whole (store, day) groups that the changed rows fall in; all of them without ``changed``."""
-    if changed is None:
-        return raw
-    days = changed.select("store_id", F.to_date("sale_timestamp").alias("_day")).distinct()
-    return raw.withColumn("_day", F.to_date("sale_timestamp")).join(days, ["store_id", "_day"], "left_semi").drop("_day")
+def touched_days(warehouse: Warehouse, windows: DataFrame) -> DataFrame | None:
+    """The (store_id, day) groups that sales loaded in the stores' windows fall in; None without a window.
+    Items carry their sale's time, so the same days hold for them."""
+    within = envelope(windows)
+    if within is None:
+        return None
+    changed = changed_in_store_windows(warehouse.read("transactions_raw"), windows, on=["created_at"], within=within)
+    return settle(changed.select("store_id", F.to_date("sale_timestamp").alias("_day")).distinct(), "touched-days")
+
+
+def _whole_days(warehouse: Warehouse, name: str, touched: DataFrame | None) -> DataFrame:
+    """All raw rows of the touched store-days, from those days' folders; everything without ``touched``."""
+    if touched is None:
+        return warehouse.read(name)
+    folders = warehouse.folders_of(name, touched.withColumn("sale_timestamp", F.col("_day").cast("timestamp")))
+    rows = warehouse.read(name, folders=folders).withColumn("_day", F.to_date("sale_timestamp"))
+    return rows.join(touched, ["store_id", "_day"], "left_semi").drop("_day")
 
 
 def refresh_marts(warehouse: Warehouse, *, as_of, run_id: str, window: tuple | None = None,
-                  changed_sales: DataFrame | None = None, changed_items: DataFrame | None = None) -> None:
-    """Rebuild the marts from the raw tables and stamp every row with ``as_of``.
+                  touched: DataFrame | None = None, customers_since=None) -> None:
+    """Rebuild the marts from the raw tables and stamp the rows with ``as_of``.
 
-    With ``changed_*`` (rows of the last load) only the store-days they touch are recomputed.
-    The metadata row that readers take freshness from is written after all five tables; a
-    failure before that leaves it as it was.
+    With ``touched`` only those store-days are recomputed, and with ``customers_since`` only customers
+    captured from then on. The metadata row that readers take freshness from is written after all
+    five tables; a failure before that leaves it as it was.
     """
     read = warehouse.read
-    sales = marts.sales_daily(_touched_days(read("transactions_raw"), changed_sales), refreshed_at=as_of)
+    sales = marts.sales_daily(_whole_days(warehouse, "transactions_raw", touched), refreshed_at=as_of)
     warehouse.upsert("sales_daily", sales, check_keys=False)
-    products = marts.product_sales_daily(_touched_days(read("transaction_items_raw"), changed_items), refreshed_at=as_of)
+    products = marts.product_sales_daily(_whole_days(warehouse, "transaction_items_raw", touched), refreshed_at=as_of)
     warehouse.upsert("product_sales_daily", products, check_keys=False)
-    warehouse.upsert("customer_summary", marts.customer_summary(read("customers_raw"), refreshed_at=as_of), check_keys=False)
+    people = read("customers_raw")
+    if customers_since is not None:
+        people = people.where(F.col("captured_at") >= instant(customers_since))
+    warehouse.upsert("customer_summary", marts.customer_summary(people, refreshed_at=as_of), check_keys=False)
     warehouse.upsert(
         "inventory_health",
         marts.inventory_health(read("inventory_snapshot_raw"), as_of=as_of, refreshed_at=as_of, tie=["snapshot_id"]),

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 from shelfmark.operators import ledger
 from shelfmark.plans import raw_load, refresh
 from shelfmark.functions.timing import instant
+from shelfmark.session import settle
 from shelfmark.sources.tables import Warehouse, Written
-from shelfmark.sources.windows import changed_in_store_windows
+from shelfmark.sources.windows import changed_in_store_windows, envelope
 
 
 def shape_store_windows(source: dict[str, DataFrame], windows: DataFrame) -> dict[str, DataFrame]:
     """The raw frames of every store's own window."""
-    in_windows = lambda name, on: changed_in_store_windows(source[name], windows, on=on)
+    within = envelope(windows)
+    in_windows = lambda name, on: changed_in_store_windows(source[name], windows, on=on, within=within)
     captured = F.col("checkpoint_end")
     sales = in_windows("transactions", ["created_at"])
     lines = (
@@ -69,9 +71,16 @@ def close_failed(warehouse: Warehouse, runs: DataFrame, *, stage: str, error: Ex
     warehouse.upsert("pipeline_runs", closed)
 
 
+def _since(warehouse: Warehouse, windows: DataFrame) -> dict:
+    """What the loads of these windows touched. Captures bear their window's end as time."""
+    bounds = envelope(windows)
+    return {"touched": refresh.touched_days(warehouse, windows), "customers_since": bounds and bounds[0]}
+
+
 def run_transform(warehouse: Warehouse, stores: DataFrame, *, as_of) -> bool:
     """Refresh the marts if any store has a newer sync than mart; returns whether it ran."""
-    due = ledger.stores_to_transform(stores, warehouse.read("pipeline_runs"), as_of=as_of)
+    # Written down: the ledger it is read from changes below.
+    due = settle(ledger.stores_to_transform(stores, warehouse.read("pipeline_runs"), as_of=as_of), "due")
     if due.isEmpty():
         return False
     windows = due.withColumnsRenamed({"source_window_start": "checkpoint_start", "source_window_end": "checkpoint_end"})
@@ -79,7 +88,7 @@ def run_transform(warehouse: Warehouse, stores: DataFrame, *, as_of) -> bool:
     mine = warehouse.read("pipeline_runs").where(
         (F.col("status") == "QUEUED") & (F.col("run_type") == ledger.MART) & (F.col("started_at") == instant(as_of)))
     try:
-        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"mart-{as_of}")
+        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"mart-{as_of}", **_since(warehouse, windows))
     except Exception as error:
         close_failed(warehouse, mine, stage="MART_REFRESH", error=error, as_of=as_of)
         raise
@@ -102,8 +111,9 @@ def run_repair(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) ->
     opened = replayed.withColumn("dead_letter_status", F.lit("OPEN"))
     windows = ledger.replay_windows(opened, warehouse.read("pipeline_runs"), source["stores"], as_of=as_of)
     try:
-        load_store_windows(warehouse, source, ledger.replay_envelopes(windows))
-        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"repair-{as_of}")
+        replays = settle(ledger.replay_envelopes(windows), "replays")
+        load_store_windows(warehouse, source, replays)
+        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"repair-{as_of}", **_since(warehouse, replays))
         ok = True
     except Exception:  # noqa: BLE001 - the failures go back to OPEN and stay in the table
         ok = False

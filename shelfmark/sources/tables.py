@@ -149,15 +149,26 @@ class Warehouse:
         self.create(name)
         return self.spark.read.schema(self._stored_schema(name)).parquet(self.path(name))
 
-    def read(self, name: str, *, store_id: str | None = None) -> DataFrame:
-        """All rows, or one store's."""
+    def read(self, name: str, *, store_id: str | None = None, folders: Sequence[str] | None = None) -> DataFrame:
+        """All rows, or one store's, or those of the named folders (see :meth:`folders_of`)."""
         stored = self._read_stored(name)
+        if folders is not None:
+            stored = self._only(name, stored, folders)
         if store_id is not None:
             stored = stored.where(F.col("store_id") == store_id)
             if LAYOUTS[name].partition_column == "p_store":
                 stored = stored.where(F.col("p_store") == store_id)
         return stored.select(*self.schema(name).fieldNames())
 
+    def folders_of(self, name: str, rows: DataFrame) -> list[str]:
+        """The folders of ``name`` that ``rows`` fall in. As many values as the table has folders at
+        most; as literals they prune the scan, which a join would not reliably do."""
+        found = rows.select(LAYOUTS[name].partition_value()).distinct()
+        return sorted(r[0] for r in found.collect())
+
+    def _only(self, name: str, stored: DataFrame, folders: Sequence[str]) -> DataFrame:
+        return stored.where(F.col(LAYOUTS[name].partition_column).isin(list(folders)))
+
     # --- writing
 
     def _conform(self, name: str, rows: DataFrame) -> DataFrame:
@@ -210,8 +221,7 @@ class Warehouse:
             twice = source.groupBy(*layout.keys).count().where("count > 1").limit(1)
             if not twice.isEmpty():
                 raise DuplicateKeys(f"{name}: a key occurs more than once in the rows to upsert")
-        folder = layout.partition_column
-        touched = self._read_stored(name).join(source.select(folder).distinct(), folder, "left_semi")
+        touched = self._only(name, self._read_stored(name), self.folders_of(name, source))
         missing = [f.name for f in self.schema(name).fields if f.name not in given]
         columns = self._stored_schema(name).fieldNames()
         merged = merge_rows(touched.select(*columns), source, layout.keys, keep_stored=missing)
@@ -251,14 +261,12 @@ class Warehouse:
             stored = self._read_stored(name)
             # One row per folder, a number the layout bounds.
             held = stored.groupBy(folder).agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("others"))
-            shared = held.where("mine > 0 AND others > 0").select(folder)
-            emptied = [r[0] for r in held.where("mine > 0 AND others = 0").select(folder).collect()]
+            found = held.where("mine > 0").select(folder, "others").collect()
+            shared, emptied = [r[0] for r in found if r[1]], [r[0] for r in found if not r[1]]
             run_id = uuid.uuid4().hex
             columns = self._stored_schema(name).fieldNames()
-            self._stage(stored.join(shared, folder, "left_semi").where(~mine).select(*columns), run_id, name)
-            rest = self._staged(name, run_id, name)
-            rewritten = not rest.isEmpty()
-            if rewritten:
+            if shared:
+                self._stage(self._only(name, stored, shared).where(~mine).select(*columns), run_id, name)
                 self.publish(name, run_id)
             for value in emptied:
                 escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils \
@@ -266,6 +274,6 @@ class Warehouse:
                 fs, path = self._filesystem(f"{self.path(name)}/{folder}={escaped}")
                 fs.delete(path, True)
             self.clear_staging(run_id, name)
-            if rewritten or emptied:
+            if found:
                 gone.append(name)
         return gone

@@ -26,11 +26,21 @@ def any_changed_between(df: DataFrame, since, until, *, on: Sequence[str], store
     return df.where(reduce(lambda a, b: a | b, hits))
 
 
-def changed_in_store_windows(df: DataFrame, windows: DataFrame, *, on: Sequence[str]) -> DataFrame:
+def envelope(windows: DataFrame) -> tuple | None:
+    """(earliest start, latest end) of all windows; None without any."""
+    row = windows.agg(F.min("checkpoint_start"), F.max("checkpoint_end")).first()
+    return None if row[0] is None else (row[0], row[1])
+
+
+def changed_in_store_windows(df: DataFrame, windows: DataFrame, *, on: Sequence[str], within: tuple | None = None) -> DataFrame:
     """Rows that changed in their own store's window (store_id, checkpoint_start, checkpoint_end).
 
-    Joined on store_id; every store has one window, so a row matches at most once.
+    Joined on store_id; every store has one window, so a row matches at most once. ``within`` is the
+    windows' :func:`envelope`: as literals it reaches the scan, so that only rows that may matter
+    are joined at all.
     """
+    if within is not None:
+        df = any_changed_between(df, *within, on=on)
     start, end = F.col("checkpoint_start"), F.col("checkpoint_end")
     hits = reduce(lambda a, b: a | b, [(F.col(c) >= start) & (F.col(c) < end) for c in on])
     bounded = windows.select("store_id", "checkpoint_start", "checkpoint_end")

@@ -188,3 +188,21 @@ def test_replay_window_is_the_one_named(spark):
     assert (row.checkpoint_start, row.checkpoint_end, row.from_reference) == (T0, T0 + DAY, True)
     outcome = ledger.after_replay(failures, spark.createDataFrame([("f", False)], "failure_id string, ok boolean"), as_of=T0)
     assert outcome.first().dead_letter_status == "OPEN"
+
+
+def test_upsert_reads_only_touched_folders_and_refresh_only_touched_days(spark, source, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    raw_load.load_window(warehouse, source, T0, T0 + 3 * DAY)
+    refresh.refresh_marts(warehouse, as_of=T0 + 3 * DAY, run_id="one")
+    one = source["transactions"].where("transaction_id = 't2'")
+    assert warehouse.folders_of("transactions_raw", one) == ["2025-01-02"]
+    pruned = warehouse.read("transactions_raw", folders=["2025-01-02"])
+    scan = next(line for line in pruned._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [" in scan and "p_day" in scan.split("PartitionFilters")[1] and [r.transaction_id for r in pruned.collect()] == ["t2"]
+    windows = spark.createDataFrame([("s1", T0 + DAY, T0 + 2 * DAY)], "store_id string, checkpoint_start timestamp, checkpoint_end timestamp")
+    touched = refresh.touched_days(warehouse, windows)
+    assert [tuple(r) for r in touched.collect()] == [("s1", (T0 + DAY).date())]
+    refresh.refresh_marts(warehouse, as_of=T0 + 4 * DAY, run_id="two", touched=touched, customers_since=T0)
+    stamps = {(r.store_id, r.sales_date): r.analytics_last_updated_at for r in warehouse.read("sales_daily").collect()}
+    assert stamps == {("s1", T0.date()): T0 + 3 * DAY, ("s1", (T0 + DAY).date()): T0 + 4 * DAY, ("s2", (T0 + 2 * DAY).date()): T0 + 3 * DAY}
+    assert warehouse.read("product_sales_daily").where("product_id = 'a'").count() == 2
