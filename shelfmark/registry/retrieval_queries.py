@@ -262,9 +262,22 @@ def _(spark, d):
     return briefing.analytics_summary(_context(spark, d), _freshness(spark, d))
 
 
-@query("mart_context")
+@query("mart_context", sql_views("transactions", "items", "customer_captures") + DASHBOARDS + SUMMARY + """,
+ days AS (SELECT store_id, string_agg(strftime(sales_date, '%Y-%m-%d'), ',' ORDER BY r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY store_id
+  ORDER BY sales_date DESC) AS r FROM sales) WHERE r <= 7 GROUP BY 1),
+ newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY sales_date DESC) AS n FROM product_sales) WHERE n = 1),
+ best AS (SELECT store_id, string_agg(product_id, ',' ORDER BY r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY store_id
+  ORDER BY revenue DESC, quantity_sold DESC, product_id) AS r FROM newest) WHERE r <= 3 GROUP BY 1),
+ people AS (SELECT store_id, string_agg(customer_id, ',' ORDER BY r) AS t FROM (SELECT store_id, customer_id, row_number() OVER (PARTITION BY store_id
+  ORDER BY total_spend DESC, visit_count DESC, customer_id) AS r FROM summary) WHERE r <= 3 GROUP BY 1)
+ SELECT l.store_id, strftime(l.snapshot_date, '%Y-%m-%d') AS snapshot_date, CAST(l.today_sales AS DOUBLE) AS today_sales, days.t AS sales_days,
+  best.t AS products, people.t AS customers
+ FROM latest l JOIN days ON days.store_id = l.store_id JOIN best ON best.store_id = l.store_id JOIN people ON people.store_id = l.store_id""")
 def _(spark, d):
-    return for_output(_context(spark, d))
+    listed = lambda column, field: F.array_join(F.transform(column, lambda e: e[field].cast("string")), ",").alias(column)
+    return for_output(_context(spark, d).select(
+        "store_id", "dashboard.snapshot_date", "dashboard.today_sales", listed("sales_days", "sales_date"),
+        listed("products", "product_id"), listed("customers", "customer_id")))
 
 
 def _facts(spark, d):
@@ -360,7 +373,40 @@ def _text_matches(spark, d):
     return hybrid.hybrid_matches(td.questions(spark, d), td.products(spark, d), none)
 
 
-@query("direct_answers")
+NO_MATCH_SQL = _quoted(answers.NO_MATCH)
+DIRECT = f""", m AS (SELECT * FROM (SELECT s.store_id, s.query_id, s.product_id, s.score, row_number() OVER (PARTITION BY s.store_id, s.query_id
+   ORDER BY s.score DESC, s.product_id) AS r FROM (SELECT a.store_id, a.query_id, s.product_id, {SCORE} AS score FROM asked a JOIN shelf s ON s.store_id = a.store_id) s) WHERE r <= 4),
+ mf AS (SELECT m.*, p.name, p.price, p.quantity_on_hand AS qty, p.reorder_threshold AS thr, p.expiry_status AS ex, p.status, p.risk, row_number() OVER (
+   PARTITION BY m.store_id, m.query_id ORDER BY CASE WHEN p.status = 'ACTIVE' AND p.risk > 0 THEN 0 ELSE 1 END, p.risk DESC, p.quantity_on_hand, m.product_id) AS rr
+  FROM m JOIN risky p ON p.store_id = m.store_id AND p.product_id = m.product_id),
+ mi AS (SELECT store_id, query_id, count(*) FILTER (WHERE status = 'ACTIVE') AS active, count(*) FILTER (WHERE status = 'ACTIVE' AND thr > 0 AND qty <= thr) AS low,
+   count(*) FILTER (WHERE status = 'ACTIVE' AND ex <> 'OK') AS expiring, string_agg(name || ' (' || qty || ' units, ' || lower(ex) || ')', ', ' ORDER BY rr)
+    FILTER (WHERE status = 'ACTIVE' AND risk > 0 AND rr <= 3) AS risks FROM mf GROUP BY 1, 2),
+ q AS (SELECT x.*, {INTENT_SQL} AS intent, {REASON_SQL} AS deep, {sql_phrase(P.TOP_SELLER_PHRASES)} AS tops, {sql_word(P.SALES_WORDS)} AS sold_words,
+   {sql_word(P.INVENTORY_STATUS_WORDS)} OR {sql_phrase(P.INVENTORY_STATUS_PHRASES)} AS about_status,
+   len(list_filter(string_split_regex(query_text, '\\s+'), lambda w: w <> '')) AS n FROM questions x),
+ d AS (SELECT q.*, greatest(0.0, least(1.0, l.score)) AS c, l.name || ': qty=' || l.qty || ', reorder=' || l.thr || ', expiry=' || l.ex || ', price=' || {FLOAT.format('l.price')} AS line,
+   l.thr > 0 AND l.qty <= l.thr AS short, texts.business_summary, texts.top_seller, texts.sales_text,
+   'I can see ' || mi.active || ' active products in the current inventory snapshot.' || CASE WHEN mi.low > 0 THEN ' ' || mi.low || ' are at or below reorder threshold.' ELSE '' END
+   || CASE WHEN mi.expiring > 0 THEN ' ' || mi.expiring || ' are expired or expiring soon.' ELSE '' END || CASE WHEN mi.risks IS NOT NULL THEN ' Top attention items are ' || mi.risks || '.' ELSE '' END
+   || CASE WHEN open_n.n > 0 THEN ' There are also ' || open_n.n || ' active alerts reinforcing those risks.' ELSE '' END
+   || CASE WHEN mi.low > 0 THEN ' Best next move is to reorder the lowest-stock items first and clear any expired stock from sale.'
+      WHEN mi.expiring > 0 THEN ' Best next move is to prioritise sell-through or markdowns for the expiring items.'
+      ELSE ' Overall inventory looks stable right now, so focus on keeping your best sellers in stock.' END AS status_text
+  FROM q JOIN mf l ON l.store_id = q.store_id AND l.query_id = q.query_id AND l.r = 1 JOIN mi ON mi.store_id = q.store_id AND mi.query_id = q.query_id
+  JOIN texts ON texts.store_id = q.store_id LEFT JOIN open_n ON open_n.store_id = q.store_id),
+ e AS (SELECT *, CASE WHEN intent = 'business_summary' THEN business_summary WHEN intent = 'sales_kpi' AND tops THEN top_seller WHEN intent = 'sales_kpi' AND sold_words THEN sales_text
+   WHEN intent IN ('product_lookup', 'reorder_decision') AND c < 0.35 THEN {NO_MATCH_SQL}
+   WHEN intent = 'reorder_decision' AND short THEN 'Restock priority is ' || line || '. It is at or below reorder threshold, so replenishment should be immediate.'
+   WHEN intent = 'reorder_decision' THEN line || '. Stock is above reorder threshold right now, so immediate restock is not urgent.'
+   WHEN intent = 'product_lookup' THEN 'Matched product details: ' || line || '.' WHEN intent = 'inventory_risk' AND about_status THEN status_text END AS direct FROM d)
+ SELECT store_id, query_id, intent, round(c, 3) AS retrieval_confidence, CASE WHEN direct IS NOT NULL AND ((intent IN ('business_summary', 'sales_kpi', 'inventory_risk') AND NOT deep)
+   OR (intent IN ('product_lookup', 'reorder_decision') AND c >= 0.72)) THEN 'retrieval_only' ELSE 'model' END AS answer_mode,
+  CASE WHEN intent = 'reasoning' OR deep OR n >= 18 OR (intent = 'product_lookup' AND c < 0.45) THEN 'reasoning' ELSE 'fast' END AS route,
+  intent IN ('product_lookup', 'reorder_decision') AND c < 0.35 AS refused, coalesce(direct, {_quoted(answers.NO_CONFIRMATION)}) AS answer FROM e"""
+
+
+@query("direct_answers", sql_views("questions", *BRIEFING_VIEWS) + BRIEFING + ASKED.format(source="questions") + DIRECT)
 def _(spark, d):
     facts = settle(_facts(spark, d))
     asked = answers.with_intent(td.questions(spark, d))
