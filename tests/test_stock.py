@@ -92,3 +92,16 @@ def test_create_and_patch(spark):
     changed = out.changed.first()
     assert (changed.name, changed.reorder_threshold, changed.expiry_date, changed.expiry_status) == ("Milk", 9, None, "OK")
     assert out.rejected.select(F.col("violations")[0]).first()[0] == "PRODUCT_NOT_FOUND"
+
+
+def test_chunks_only_where_a_key_is_large(spark):
+    from shelfmark.operators.running import CHUNK, in_order_chunks
+
+    rows = spark.range(60).selectExpr("'s' AS store_id", "if(id < 50, 'hot', cast(id as string)) AS product_id", "id")
+    parts = lambda **kw: {r[0] for r in in_order_chunks(rows, ["store_id", "product_id"], ["id"], **kw).where(
+        "product_id = 'hot'").select(CHUNK).distinct().collect()}
+    assert parts() == {0} and len(parts(rows_per_chunk=10)) > 1 and len(parts(chunks=6)) > 1
+    # Chunk numbers grow with the order.
+    grown = in_order_chunks(rows, ["store_id", "product_id"], ["id"], chunks=6).where("product_id = 'hot'").orderBy("id")
+    numbers = [r[CHUNK] for r in grown.collect()]
+    assert numbers == sorted(numbers)
