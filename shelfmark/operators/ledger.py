@@ -123,8 +123,8 @@ def open_failures(failures: DataFrame, *, limit: int = 50) -> DataFrame:
 
 
 def replay_windows(failures: DataFrame, runs: DataFrame, stores: DataFrame, *, as_of, limit: int = REPAIR_BATCH) -> DataFrame:
-    """The windows to load again: the one a failure names, or the store's next window where the
-    reference does not parse. ``picked`` failures keep their id for the outcome."""
+    """The windows to load again: the one in a failure's ``batch_ref``, or the store's next window where
+    that does not parse. The failures keep their id for the outcome."""
     parts = F.split("batch_ref", "/", 2)
     start, end = utc_timestamp(F.get(parts, F.lit(0))), utc_timestamp(F.get(parts, F.lit(1)))
     both = start.isNotNull() & end.isNotNull()
