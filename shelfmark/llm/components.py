@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.session import settle
+from shelfmark.session import release, settle
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        now = settle(small.where("u > v").distinct(), "edges")
+        last, now = now, settle(small.where("u > v").distinct(), "edges")
+        release(last)
         state = _state(now)
         if state == seen:
             break

@@ -5,7 +5,8 @@ near if one word inserted, deleted or replaced turns one into the other, and the
 ``least_words`` words (five: four words in five stay). Every variant of a line with one word deleted
 is a hashed key, and so is the line itself; near lines share a key. To emit variants only where they
 can meet, a line must first share its front or back half (for its own length or one word less) with
-another class: one word leaves one of the halves alone, so nothing is lost.
+another class, and then all but one of sixteen parts, whose words are the ones to delete: one word
+leaves the rest alone, so nothing is lost.
 
 Per key only the earliest class is looked up, so lines that share a template are not paired with
 each other. The edit distance is verified on the words.
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.session import settle
 
+PARTS = 16
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -40,6 +42,20 @@ def _halves(words: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
+def _parts(words: Column) -> Column:
+    """A key of each of up to PARTS parts: all the words but that part, for a shorter line of n words (less 0) or n - 1 (less 1)."""
+    n = F.size(words)
+    made = []
+    for less in (0, 1):
+        m = n - less
+        for k in range(PARTS):
+            low, high = F.floor(m * k / PARTS).cast("int"), F.floor(m * (k + 1) / PARTS).cast("int")
+            rest = m - high
+            key = F.xxhash64(m, low, high, F.array_join(F.slice(words, 1, low), " "), F.lit("|"), F.array_join(F.slice(words, n - rest + 1, rest), " "))
+            made.append(F.when(low < high, F.struct(F.lit(less).alias("less"), low.alias("low"), high.alias("high"), key.alias("key"))))
+    return F.filter(F.array(*made), lambda p: p.isNotNull())
+
+
 def line_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, at, line): the lines of each text that are not blank."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -63,24 +79,33 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     half = classes.where("halves is not null").select("line", F.explode(F.array_distinct("halves")).alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    asked = half.join(shared, "half", "left_semi").select("line").distinct().join(classes.select("line", "place"), "line")
+    asked = settle(half.join(shared, "half", "left_semi").select("line").distinct().join(classes.select("line", "place"), "line"), "asked")
     # the words of those lines, from their earliest places
     own = asked.groupBy("place.id", "place.key").agg(F.collect_list(F.struct("place.at", "line", "place")).alias("lines"))
     texts = docs.select(F.col(id_col).alias("t_id"), F.xxhash64(text_col).alias("t_key"), F.split(text_col, "\n", -1).alias("all_lines"))
     texts = texts.join(own, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_key") == F.col("key")))
     known = texts.select("all_lines", F.explode("lines").alias("own")).select("own.line", "own.place", words_of(F.col("all_lines")[F.col("own.at")]).alias("words"))
-    known = settle(known.groupBy("line").agg(F.first("place").alias("place"), F.first("words").alias("words")), "asked")
+    known = settle(known.groupBy("line").agg(F.first("place").alias("place"), F.first("words").alias("words")), "known")
 
+    # a line also has to share all but one part with another: variants lack a word of that part
+    part = known.select("line", F.explode(_parts(F.col("words"))).alias("p")).select("line", "p.*")
+    met = part.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    parts = part.join(met, "key", "left_semi").groupBy("line").agg(F.collect_set(F.struct("less", "low", "high")).alias("parts"))
+    cut = known.join(parts, "line").select("line", "place", "words", F.explode("parts").alias("p"))
     size = F.size("words")
-    deleted = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("gap"), _hash(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, size))).alias("variant")))
-    whole = F.array(F.struct(F.lit(0).alias("gap"), F.col("line").alias("variant")))
-    variants = known.select("line", "place", F.explode(F.when(size >= least_words, F.concat(whole, deleted)).otherwise(whole)).alias("v"))
-    variants = variants.select("line", "place", "v.gap", "v.variant")
+    gaps = F.when(size >= least_words, F.sequence(F.col("p.low") + 1, F.col("p.high") + F.col("p.less"))).otherwise(F.array().cast("array<int>"))
+    kind = F.when(F.col("p.less") == 0, "replaced").otherwise("shorn")
+    shorn = F.transform(gaps, lambda i: F.struct(kind.alias("kind"), i.alias("gap"), _hash(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, size))).alias("variant")))
+    whole = F.array(F.struct(F.lit("whole").alias("kind"), F.lit(0).alias("gap"), F.col("line").alias("variant")))
+    variants = cut.select("line", "place", F.explode(F.when(F.col("p.less") == 0, F.concat(whole, shorn)).otherwise(shorn)).alias("v")).select("line", "place", "v.*")
+    variants = settle(variants.distinct(), "variants")
     # replaced: both lack the word at one gap; inserted or deleted: one is the other's variant
-    by_gap = variants.where("gap > 0").groupBy("variant", "gap").agg(F.min("place").alias("place"), F.count("*").alias("n")).where("n > 1")
-    by_key = variants.groupBy("variant").agg(F.min(F.when(F.col("gap") == 0, F.col("place"))).alias("whole"), F.min(F.when(F.col("gap") > 0, F.col("place"))).alias("shorn")).where("whole is not null and shorn is not null")
-    same = variants.where("gap > 0").join(by_gap.withColumnRenamed("place", "before"), ["variant", "gap"]).select("line", "place", "before")
-    other = variants.join(by_key, "variant").select("line", "place", F.when(F.col("gap") == 0, F.col("shorn")).otherwise(F.col("whole")).alias("before"))
+    replaced = variants.where("kind = 'replaced'")
+    by_gap = replaced.groupBy("variant", "gap").agg(F.min("place").alias("before"), F.count("*").alias("n")).where("n > 1")
+    same = replaced.join(by_gap, ["variant", "gap"]).select("line", "place", "before")
+    others = variants.where("kind <> 'replaced'")
+    by_key = others.groupBy("variant").agg(F.min(F.when(F.col("kind") == "whole", F.col("place"))).alias("whole"), F.min(F.when(F.col("kind") == "shorn", F.col("place"))).alias("shorn")).where("whole is not null and shorn is not null")
+    other = others.join(by_key, "variant").select("line", "place", F.when(F.col("kind") == "whole", F.col("shorn")).otherwise(F.col("whole")).alias("before"))
     met = same.unionByName(other).where("before < place").distinct()
     words = known.select("line", "words")
     earlier = known.select(F.col("place").alias("before"), F.col("words").alias("before_words"))
