@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    return simhash.drop_near_documents(docs, distance=2, shingle=5)
+    """One document of each group of near copies (five-word shingles, three bits) stays, that of the smallest id."""
+    return simhash.drop_near_documents(docs, distance=3, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,10 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     )
 
 
+#: Spark removes an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def in_utc(spark: SparkSession) -> SparkSession:
     """Dates here are UTC days; a caller's session may say otherwise."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -75,8 +79,24 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
 
     Used where a loop would otherwise grow its lineage every round, and where a value that
     depends on the physical layout (a range-partition number) must stay the same for every
-    reader. A written table also survives lost executors and tells the optimizer its size.
+    reader. A written table also survives lost executors and tells the optimizer its size. The
+    shuffle files that made it go once it is written.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.settled_path = path
+    return settled
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table that ``settle`` wrote for ``df``; nothing may read it afterwards."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
