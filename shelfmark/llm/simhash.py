@@ -252,7 +252,7 @@ def simhash_components(docs: DataFrame, distance: int = 2, id_col: str = "doc_id
     shingle is one shingle. Other columns are not read.
     """
     marked = settle(near_documents(docs, distance, id_col, text_col, shingle), "rooted")
-    least = marked.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = settle(marked.groupBy("root").agg(F.min("id").alias("component_id")), "least")  # so that a large component's join can be split
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(least, "root").select(F.col("id").alias(id_col), shown, "component_id")
 
