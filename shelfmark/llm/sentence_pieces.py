@@ -26,7 +26,7 @@ from shelfmark.llm.token_counts import slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE, RUN = 300_000, 256
+CACHE, RUN = 80_000, 256
 _CUT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
 

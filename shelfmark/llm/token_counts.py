@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-FREQUENT, LONGEST, SUMMARY, CACHE = 131_072, 64, 131_072, 300_000
+FREQUENT, LONGEST, SUMMARY, CACHE = 131_072, 64, 131_072, 100_000
 _CLOSE = ("  ", " \n", "\n ", "\n\n")
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")

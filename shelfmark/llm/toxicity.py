@@ -74,7 +74,7 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
                 for parts, key in zip(held, _keys(data, starts, ends, words)):
                     parts.append(key)
                 size += len(words)
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield from flush()
                     size = 0
         if held[0]:
