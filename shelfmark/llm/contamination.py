@@ -32,7 +32,7 @@ def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> Dat
     """(item, window, words): every distinct window of every item; ``words`` joined by blanks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.small(batches):
             out: list[tuple] = []
             for item, text in zip(batch["item"].to_pylist(), W.as_bytes(batch["text"])):
                 text = text or b""
@@ -107,7 +107,7 @@ def _counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[tuple[int, int
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {s: np.zeros(len(k), np.int64) for s, (k, _) in shared.value.items()}
-        for batch in batches:
+        for batch in W.small(batches):
             for _, _, _, _, _, words, cut in W.worded(W.as_bytes(batch["text"]), W.LETTERS):
                 for size, (k, marks) in shared.value.items():
                     # runs over the end of a text only make a shingle look more common
@@ -166,7 +166,7 @@ def _schema(marked: DataFrame, columns: list[str], state: str, last: bool):
 def _probe(shared, text_col: str, columns: list[str], state: str, first: bool, last: bool, one_in: int):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, prefixes = shared.value
-        for batch in batches:
+        for batch in W.small(batches):
             texts = W.as_bytes(batch[text_col])
             before = [None] * len(texts) if first else batch[state].to_pylist()
             n_words, hits, items = [], [], []

@@ -3,7 +3,7 @@
 The model protobuf is read field by field; its normaliser, metaspace marker, piece scores (unigram)
 or merges (BPE) and byte fallback are rebuilt as a tokenizers model. No piece of such a model has a
 marker after another character, so a marked text falls into segments (a marker and what follows)
-that are encoded apart; a worker keeps the segments it has seen and encodes new ones in
+that are encoded apart; a task keeps the segments it has seen and encodes new ones in
 multithreaded batches. Every new segment is also encoded by the sentencepiece library; where the two
 differ the latter's ids are taken, and ``parity`` of the text is false.
 """
@@ -13,7 +13,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -116,7 +115,7 @@ def _surface(piece: str, kind: int) -> bytes:
 
 
 class Coder:
-    """Encodes and decodes in one worker."""
+    """Encodes and decodes in one task."""
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -218,17 +217,6 @@ class Coder:
         return out
 
 
-_MADE: dict[str, Coder] = {}
-
-
-def _worker(name: str, shared) -> Coder:
-    """One per worker process, which keeps its segments from task to task."""
-    if name not in _MADE:
-        _MADE.clear()
-        _MADE[name] = Coder(shared.value)
-    return _MADE[name]
-
-
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """All columns of ``docs`` with token_ids, n_tokens, parity and, if asked for, decoded.
 
@@ -236,13 +224,13 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", deco
     the names are replaced. The model file is read by the driver.
     """
     with open(model_path, "rb") as file:
-        shared, name = docs.sparkSession.sparkContext.broadcast(file.read()), uuid.uuid4().hex
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
     new = [("token_ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("parity", T.BooleanType())] + [("decoded", T.StringType())] * decode
     columns = [c for c in docs.columns if c not in dict(new)]
     kept = docs.select(*columns)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _worker(name, shared)
+        coder = Coder(shared.value)
         for batch in batches:
             low = 0
             for run in slices(batch[text_col].to_pylist(), 1 << 20):
@@ -262,12 +250,12 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", deco
 def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "token_ids") -> DataFrame:
     """All columns of ``rows`` with decoded: the text of the ids; null ids give the empty text, a decoded column is replaced."""
     with open(model_path, "rb") as file:
-        shared, name = rows.sparkSession.sparkContext.broadcast(file.read()), uuid.uuid4().hex
+        shared = rows.sparkSession.sparkContext.broadcast(file.read())
     columns = [c for c in rows.columns if c != "decoded"]
     kept = rows.select(*columns)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _worker(name, shared)
+        coder = Coder(shared.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)

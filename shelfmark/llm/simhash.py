@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, key, fp): the fingerprint of each row as a signed long; ``key`` tells texts of equal ids apart."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.small(batches):
             made = np.array([fingerprint(t, shingle) for t in W.as_bytes(batch["text"])], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(made, pa.int64())], names=["id", "key", "fp"])
 

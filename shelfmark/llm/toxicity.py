@@ -40,7 +40,7 @@ def class_words(sample: DataFrame) -> DataFrame:
     """(key, six, four, toxic, ordinary): each word of the sample with its counts by class."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.small(batches):
             label = np.array(batch["toxic"].to_pylist(), bool)
             for first, end, data, starts, ends, words, cut in W.worded(W.as_bytes(batch["text"]), W.LETTERS):
                 if not len(words):
@@ -69,7 +69,7 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
                 yield pa.record_batch({"level": pa.array(np.full(len(key), level), pa.int32()), "key": _signed(key), "n": pa.array(n, pa.int64())})
                 parts.clear()
 
-        for batch in batches:
+        for batch in W.small(batches):
             for _, _, data, starts, ends, words, _ in W.worded(W.as_bytes(batch["text"]), W.LETTERS):
                 for parts, key in zip(held, _keys(data, starts, ends, words)):
                     parts.append(key)
@@ -136,37 +136,46 @@ def fit_ratios(found: DataFrame, counts: DataFrame, most_words: int) -> Ratios:
                    .unionByName(roots.select(F.lit(2).alias("level"), F.col("four").alias("key"), F.col("four").alias("six"), "four", "toxic", "ordinary")), "known")
     asked = (known.select("level", "key").unionByName(known.where("level = 0").select(F.lit(1).alias("level"), F.col("six").alias("key")))
              .unionByName(known.select(F.lit(2).alias("level"), F.col("four").alias("key"))).distinct())
-    shared = counts.join(asked, ["level", "key"]).toPandas()
-    levels = known.toPandas()
+    # at most three times most_words rows, and their stems
+    shared, levels = counts.join(asked, ["level", "key"]).toPandas(), known.toPandas()
     everywhere = max(1.0, float(counts.where("level = 2").agg(F.sum("n")).first()[0] or 1))
     n_six = np.array([float(x) for x in six.agg(*[F.count(F.when(F.col(c) > 0, 1)) for c in ("toxic", "ordinary")]).first()])
     n_four = np.array([float(x) for x in four.agg(*[F.count(F.when(F.col(c) > 0, 1)) for c in ("toxic", "ordinary")]).first()])
-    count = [dict(zip(part["key"], part["n"].astype(float))) for _, part in ((lv, shared[shared["level"] == lv]) for lv in range(3))]
     by = [levels[levels["level"] == lv] for lv in range(3)]
 
     back_word = discount * kinds / tokens  # mass left to the stems of six
     back_six = discount * n_six / np.maximum(kinds, 1)
     back_four = discount * n_four / np.maximum(n_six, 1)
 
+    def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return otherwise
+        order = np.argsort(keys)
+        at = order[np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)]
+        hit = keys[at] == wanted
+        return np.where(hit if values.ndim == 1 else hit[:, None], values[at], otherwise)
+
     def shared_of(level: int, keys: np.ndarray) -> np.ndarray:
-        return np.array([count[level].get(k, 1.0) for k in keys])
+        own = shared[shared["level"] == level]
+        return looked_up(own["key"].to_numpy(), own["n"].to_numpy(float), keys, np.ones(len(keys)))
 
     def seen(part, total: np.ndarray) -> np.ndarray:
         return np.maximum(part[["toxic", "ordinary"]].to_numpy(float) - discount, 0) / total
 
     p_four = seen(by[2], np.maximum(n_six, 1)) + back_four * (shared_of(2, by[2]["key"].to_numpy()) / everywhere)[:, None]
-    four_at = dict(zip(by[2]["key"], p_four))
 
     def four_of(keys: np.ndarray) -> np.ndarray:
-        return np.array([four_at[k] if k in four_at else back_four * count[2].get(k, 1.0) / everywhere for k in keys]).reshape(-1, 2)
+        return looked_up(by[2]["key"].to_numpy(), p_four, keys, back_four * (shared_of(2, keys) / everywhere)[:, None])
+
+    def under_four(sixes: np.ndarray, fours: np.ndarray) -> np.ndarray:
+        c_six, c_four = shared_of(1, sixes), shared_of(2, fours)
+        return back_six * four_of(fours) * (c_six / np.maximum(c_four, c_six))[:, None]
 
-    c_six, c_four = shared_of(1, by[1]["key"].to_numpy()), shared_of(2, by[1]["four"].to_numpy())
-    p_six = seen(by[1], np.maximum(kinds, 1)) + back_six * four_of(by[1]["four"].to_numpy()) * (c_six / np.maximum(c_four, c_six))[:, None]
-    six_at = dict(zip(by[1]["key"], p_six))
+    p_six = seen(by[1], np.maximum(kinds, 1)) + under_four(by[1]["key"].to_numpy(), by[1]["four"].to_numpy())
     words = by[0]
-    c_word, c_six, c_four = shared_of(0, words["key"].to_numpy()), shared_of(1, words["six"].to_numpy()), shared_of(2, words["four"].to_numpy())
-    unseen_six = back_six * four_of(words["four"].to_numpy()) * (c_six / np.maximum(c_four, c_six))[:, None]
-    under = np.array([six_at.get(k, u) for k, u in zip(words["six"], unseen_six)]).reshape(-1, 2)
+    sixes = words["six"].to_numpy()
+    c_word, c_six = shared_of(0, words["key"].to_numpy()), shared_of(1, sixes)
+    under = looked_up(by[1]["key"].to_numpy(), p_six, sixes, under_four(sixes, words["four"].to_numpy()))
     p_word = seen(words, tokens) + back_word * under * (c_word / np.maximum(c_six, c_word))[:, None]
 
     def ratio(p: np.ndarray) -> np.ndarray:
@@ -220,7 +229,7 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(z @ self.weight, -30, 30)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, most_toxic: int = 10_000, most_ordinary: int = 20_000, most_words: int = 400_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, most_toxic: int = 10_000, most_ordinary: int = 20_000, most_words: int = 150_000) -> DataFrame:
     """All columns of ``docs`` with held_out, score (0 to 1) and predicted (1 from ``threshold`` on).
 
     Only labels of rows whose crc32 of the id as text, modulo 3, is not 1 are learnt from; held_out
@@ -244,7 +253,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast(ratios)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.small(batches):
             made = _features_of(W.as_bytes(batch["text"]), shared.value)
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(made), pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -260,7 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     columns = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.small(batches):
             value = curved.value(_features_of(W.as_bytes(batch[text_col]), shared.value))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(value, pa.float64())], names=[*columns, "score"])
 

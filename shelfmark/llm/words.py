@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-_SIDE = 1 << 20  # bytes or words handled at a time
+_SIDE = 1 << 18  # bytes or words handled at a time
 _BYTE_BASE, _WORD_BASE, _CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -64,6 +64,13 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def places(data: bytes, kind: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each word."""
     inside = kind[0][np.frombuffer(data, np.uint8)]
@@ -72,14 +79,14 @@ def places(data: bytes, kind: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray
 
 
 def hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, kind: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A 64-bit polynomial hash of each word, from prefix sums over runs of about a megabyte."""
+    """A 64-bit polynomial hash of each word, from prefix sums over runs of at most _SIDE bytes."""
     out = np.empty(len(starts), np.uint64)
     raw, i = np.frombuffer(data, np.uint8), 0
     while i < len(starts):
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, low + _SIDE, "right")))
         high = int(ends[j - 1])
-        if high - low > _SIDE:  # one word of more than a megabyte
+        if high - low > _SIDE:  # one very long word
             out[i] = xxhash.xxh64_intdigest(kind[1][raw[low:high]].tobytes(), 7)
             i = j
             continue
