@@ -117,7 +117,7 @@ def _counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[tuple[int, int
             some = np.flatnonzero(n)
             yield pa.record_batch({"size": pa.array(np.full(len(some), size), pa.int64()), "key": pa.array(some, pa.int64()), "n": pa.array(n[some], pa.int64())})
 
-    rows = docs.mapInArrow(tally, "size long, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect()
+    rows = docs.mapInArrow(W.tidied(tally), "size long, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect()
     return {(r["size"], int(keys[r["size"]][r["key"]])): r["n"] for r in rows}
 
 
@@ -146,7 +146,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 13, one_in
         prefixes = index.order(_counts(slim, index.all_keys()) if rows else {})
         shared = spark.sparkContext.broadcast((index, {s: (*p, _sieve(p[0])) for s, p in prefixes.items()}))
         first, last = shard == 0, shard == shards - 1
-        marked = marked.mapInArrow(_probe(shared, text_col, columns, state, first, last, one_in), _schema(marked, columns, state, last))
+        marked = marked.mapInArrow(W.tidied(_probe(shared, text_col, columns, state, first, last, one_in)), _schema(marked, columns, state, last))
         if not last:
             marked = settle(marked, "probed")
     return marked

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from shelfmark.llm.token_counts import slices
+from shelfmark.llm.words import tidied
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -244,7 +245,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", deco
                 low += len(run)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), *made], names=[*columns, *(n for n, _ in new)])
 
-    return kept.mapInArrow(encode, T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), *(T.StructField(n, t) for n, t in new)]))
+    return kept.mapInArrow(tidied(encode), T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), *(T.StructField(n, t) for n, t in new)]))
 
 
 def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -262,4 +263,4 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "token_ids")
                 texts = coder.decode([x or [] for x in part[ids_col].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
-    return kept.mapInArrow(decode, T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), T.StructField("decoded", T.StringType())]))
+    return kept.mapInArrow(tidied(decode), T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), T.StructField("decoded", T.StringType())]))

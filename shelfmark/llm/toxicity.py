@@ -52,7 +52,7 @@ def class_words(sample: DataFrame) -> DataFrame:
                 n_all = np.bincount(which)
                 yield pa.record_batch({"key": _signed(key[at]), "six": _signed(six[at]), "four": _signed(four[at]), "toxic": pa.array(n_toxic, pa.int64()), "ordinary": pa.array(n_all - n_toxic, pa.int64())})
 
-    found = sample.select("text", "toxic").mapInArrow(tally, "key long, six long, four long, toxic long, ordinary long")
+    found = sample.select("text", "toxic").mapInArrow(W.tidied(tally), "key long, six long, four long, toxic long, ordinary long")
     return found.groupBy("key").agg(F.min("six").alias("six"), F.min("four").alias("four"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -80,7 +80,7 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
         if held[0]:
             yield from flush()
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(tally, "level int, key long, n long")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(W.tidied(tally), "level int, key long, n long")
     return rows.groupBy("level", "key").agg(F.sum("n").alias("n"))
 
 
@@ -257,7 +257,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             made = _features_of(W.as_bytes(batch["text"]), shared.value)
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(made), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = sample.where("not teaches").select("toxic", "text").mapInArrow(measure, "toxic boolean, x array<double>").toPandas()
+    rows = sample.where("not teaches").select("toxic", "text").mapInArrow(W.tidied(measure), "toxic boolean, x array<double>").toPandas()
     y = rows["toxic"].to_numpy(float) if len(rows) else np.empty(0)
     if ratios.tables and len(y) and 0 < y.sum() < len(y):
         curve = Curve(np.array(rows["x"].tolist()), y)
@@ -276,5 +276,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     from pyspark.sql import types as T
 
     kept = docs.select(*columns)
-    scored = kept.mapInArrow(score, T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), T.StructField("score", T.DoubleType())]))
+    scored = kept.mapInArrow(W.tidied(score), T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), T.StructField("score", T.DoubleType())]))
     return scored.withColumn("held_out", F.coalesce(remainder == 1, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
