@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from shelfmark.session import settle
+
 # The parts of HTML that matter here, and names that sites give to parts outside an article.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "canvas", "audio", "video", "math"}
@@ -288,6 +290,7 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     """
     columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     known = wrappers(pages, url_col, html_col, references).withColumnRenamed("host", "__host").withColumnRenamed("references", "__references")
+    known = settle(known, "wrappers")  # so that Spark can split a hot host's join, or broadcast a few hosts
     kept = pages.select(*columns).withColumn("__own", F.coalesce(host_of(F.col(url_col)), F.lit("")))
     joined = kept.join(known, kept["__own"] == known["__host"], "left").select(*[kept[c] for c in columns], "__references")
 
