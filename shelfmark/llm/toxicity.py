@@ -229,6 +229,16 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(z @ self.weight, -30, 30)))
 
 
+class Flat:
+    """The same score for every text."""
+
+    def __init__(self, share: float):
+        self.share = share
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.share)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, most_toxic: int = 10_000, most_ordinary: int = 20_000, most_words: int = 150_000) -> DataFrame:
     """All columns of ``docs`` with held_out, score (0 to 1) and predicted (1 from ``threshold`` on).
 
@@ -264,7 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     else:
         n = picked.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
         share = (n[1] + 1) / (n[0] + 2)
-        curve = lambda x: np.full(len(x), share)
+        curve = Flat(share)
     curved = spark.sparkContext.broadcast(curve)
     columns = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
