@@ -86,13 +86,14 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
 
 def group_bits(total: int, both: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in ``parts`` groups of about equal width: each grows by the bit most correlated with it."""
+    size = len(both)
     mean = np.diag(both) / max(total, 1)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     related = np.abs(both / max(total, 1) - np.outer(mean, mean)) / np.outer(spread, spread)
     np.fill_diagonal(related, 0)
-    free, out = set(range(BITS)), []
+    free, out = set(range(size)), []
     for k in range(parts):
-        width = BITS // parts + (k < BITS % parts)
+        width = size // parts + (k < size % parts)
         left = sorted(free)
         own = [left[int(np.argmax(related[np.ix_(left, left)].sum(axis=1)))]]
         free.discard(own[0])
@@ -262,7 +263,11 @@ def drop_near_documents(docs: DataFrame, distance: int = 2, id_col: str = "doc_i
 
     Null ids come last. Of rows that repeat id and text one is kept. All columns stay.
     """
-    marked = settle(near_documents(docs, distance, id_col, text_col, shingle), "rooted")
+    return keep_first(docs, settle(near_documents(docs, distance, id_col, text_col, shingle), "rooted"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of the rows of ``docs`` that share a root in ``marked`` (id, key, root) the first: by id, nulls last, then by text hash."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = marked.groupBy("root").agg(F.min(order).alias("f")).select("f.id", "f.key", "root")
     copies = marked.groupBy("id", "key").count()
