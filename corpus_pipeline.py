@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import contamination, lines, sentence_pieces, simhash, toxicity
+from shelfmark.llm import contamination, lines, sentence_pieces, similar, toxicity
 from shelfmark.llm.queries import tokenizer_path
 from shelfmark.session import settle
 
@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, three bits) stays, that of the smallest id."""
-    return simhash.drop_near_documents(docs, distance=3, shingle=5)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that of the smallest id."""
+    return similar.drop_similar(docs, similarity=0.8, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
