@@ -287,8 +287,11 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     close = links.where("sure").select("u", "v")
     roots = settle(components(close, "u", "v"), "roots")
     side = lambda end: roots.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
-    apart = links.where("not sure").join(side("u"), "u", "left").join(side("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    checked = _checked(docs, named, settle(apart.select("u", "v"), "unsure"), similarity, id_col, text_col, shingle)
-    found = components(close.unionByName(checked), "u", "v")
-    rooted = settle(named.join(found, "node", "left").select("id", "key", F.coalesce("component", "node").alias("root")), "rooted")
+    rooted_ends = links.where("not sure").join(side("u"), "u", "left").join(side("v"), "v", "left")
+    rooted_ends = rooted_ends.withColumns({f"root_{end}": F.coalesce(f"root_{end}", end) for end in "uv"}).where("root_u != root_v")
+    unsure = settle(rooted_ends.select("u", "v", "root_u", "root_v"), "unsure")
+    checked = _checked(docs, named, unsure.select("u", "v"), similarity, id_col, text_col, shingle)
+    joined = components(checked.join(unsure, ["u", "v"]), "root_u", "root_v").select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    rooted = named.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")).join(joined, "component", "left")
+    rooted = settle(rooted.select("id", "key", F.coalesce("joined", "component").alias("root")), "rooted")
     return keep_first(docs, rooted, id_col, text_col)

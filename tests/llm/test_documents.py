@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import types as T
 
-from shelfmark.llm import contamination, lines, private, queries, sentence_pieces, simhash, substrings, token_counts
+from shelfmark.llm import contamination, lines, private, queries, sentence_pieces, similar, simhash, substrings, token_counts
 from shelfmark.registry import QUERIES
 
 #: Columns whose names the operators use inside.
@@ -257,3 +257,40 @@ def test_native_plans(spark, sf):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     assert queries.table(spark, sf, "documents").columns
+
+
+def _sets(rows, size=5):
+    words = {i: brute.PLAIN.findall(brute.low(t)) for i, t in rows}
+    return {i: {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for i, w in words.items()}
+
+
+def test_similar_documents(spark):
+    """Of each pair at 0.8 or more one goes; what goes is near something; blocks find the same."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for group in range(12):
+        base = [word() for _ in range(rng.randrange(60, 400))]
+        for copy in range(rng.choice((1, 2, 8, 60))):
+            own = list(base)
+            for _ in range(copy and max(1, len(own) // 150)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int")
+    kept = {r.doc_id for r in similar.drop_similar(docs).collect()}
+    sets = _sets(rows)
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [(a, b) for a in sets for b in sets if a < b and alike(a, b) >= 0.8]
+    assert near and not [p for p in near if p[0] in kept and p[1] in kept]
+    assert all(any(alike(i, o) >= 0.7 for o in sets if o != i) for i in set(sets) - kept) and len(kept) >= 12
+    fps = similar.fingerprints(docs, "doc_id", "text", 5).select(*similar.PARTS).distinct()
+    sure, limit = similar.limits_for(0.8)
+    plain, cut = ({(r.u, r.v) for r in similar.components(similar.link_similar(fps, sure, limit, block=b), "u", "v").withColumnsRenamed({"node": "u", "component": "v"}).collect()} for b in (4096, 7))
+    assert plain == cut
+
+
+def test_similar_odd(spark):
+    made = similar.drop_similar(frame(spark, ODD)).collect()
+    texts = [brute.low(r.text).split() for r in made]
+    assert sum(not t for t in texts) == 1 and len({tuple(t) for t in texts}) == len(texts)
+    assert similar.drop_similar(frame(spark, ODD).limit(0)).count() == 0
