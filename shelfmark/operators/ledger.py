@@ -46,14 +46,15 @@ def next_windows(stores: DataFrame, runs: DataFrame, *, as_of) -> DataFrame:
 
 
 def stores_to_transform(stores: DataFrame, runs: DataFrame, *, as_of) -> DataFrame:
-    """Stores whose last sync ends later than their last mart refresh, with the window of that sync."""
-    sync = latest_success(runs, SYNC).select("store_id", "checkpoint_start", "checkpoint_end")
+    """Stores with succeeded syncs that end later than their last mart refresh, with the window from the
+    first start to the last end of these syncs."""
+    sync = runs.where((F.col("status") == "SUCCEEDED") & (F.col("run_type") == SYNC)).select("store_id", "checkpoint_start", "checkpoint_end")
     mart = latest_success(runs, MART).select("store_id", F.col("checkpoint_end").alias("_done"))
     return (
         stores.select("store_id").join(sync, "store_id").join(mart, "store_id", "left")
         .where(F.col("checkpoint_end").isNotNull() & (F.col("_done").isNull() | (F.col("_done") < F.col("checkpoint_end"))))
-        .select("store_id", F.coalesce("checkpoint_start", instant(as_of)).alias("source_window_start"),
-                F.col("checkpoint_end").alias("source_window_end"))
+        .groupBy("store_id").agg(F.min(F.coalesce("checkpoint_start", instant(as_of))).alias("source_window_start"),
+                                 F.max("checkpoint_end").alias("source_window_end"))
     )
 
 

@@ -33,11 +33,13 @@ def _whole_days(warehouse: Warehouse, name: str, touched: DataFrame | None) -> D
 
 
 def refresh_marts(warehouse: Warehouse, *, as_of, run_id: str, window: tuple | None = None,
-                  touched: DataFrame | None = None, customers_since=None) -> None:
+                  touched: DataFrame | None = None, customers_since=None, stamps: DataFrame | None = None) -> None:
     """Rebuild the marts from the raw tables and stamp the rows with ``as_of``.
 
     With ``touched`` only those store-days are recomputed, and with ``customers_since`` only customers
-    captured from then on. The metadata row that readers take freshness from is written after all
+    captured from then on. ``stamps`` (store_id, pipeline_run_id, checkpoint_start, checkpoint_end) names
+    the stores that are fresh afterwards, by their own runs; without it all stores with raw data are,
+    by ``run_id`` and ``window``. The metadata row that readers take freshness from is written after all
     five tables; a failure before that leaves it as it was.
     """
     read = warehouse.read
@@ -60,16 +62,18 @@ def refresh_marts(warehouse: Warehouse, *, as_of, run_id: str, window: tuple | N
         read("inventory_health").where(F.col("snapshot_date") == day_of(as_of)), as_of=as_of, refreshed_at=as_of,
     )
     warehouse.upsert("dashboard_summary", dashboard, check_keys=False)
-    publish_freshness(warehouse, as_of=as_of, run_id=run_id, window=window)
+    if stamps is None:
+        start, end = window if window else (None, None)
+        at = lambda v: F.lit(None).cast("timestamp") if v is None else instant(v)
+        stamps = read("transactions_raw").select("store_id").distinct().select(
+            "store_id", F.lit(run_id).alias("pipeline_run_id"), at(start).alias("checkpoint_start"), at(end).alias("checkpoint_end"))
+    publish_freshness(warehouse, stamps, as_of=as_of)
 
 
-def publish_freshness(warehouse: Warehouse, *, as_of, run_id: str, window: tuple | None) -> None:
-    """One metadata row per store that has raw data."""
-    start, end = window if window else (None, None)
-    at = lambda v: F.lit(None).cast("timestamp") if v is None else instant(v)
-    stores = warehouse.read("transactions_raw").select("store_id").distinct()
-    warehouse.upsert("analytics_metadata", stores.select(
+def publish_freshness(warehouse: Warehouse, stamps: DataFrame, *, as_of) -> None:
+    """One metadata row per store of ``stamps``, with its run and window."""
+    warehouse.upsert("analytics_metadata", stamps.select(
         "store_id", instant(as_of).alias("analytics_last_updated_at"), F.lit("fresh").alias("freshness_status"),
-        F.lit(run_id).alias("last_pipeline_run_id"), at(start).alias("source_window_start"),
-        at(end).alias("source_window_end"), instant(as_of).alias("updated_at"),
+        F.col("pipeline_run_id").alias("last_pipeline_run_id"), F.col("checkpoint_start").alias("source_window_start"),
+        F.col("checkpoint_end").alias("source_window_end"), instant(as_of).alias("updated_at"),
     ), check_keys=False)

@@ -85,10 +85,10 @@ def run_transform(warehouse: Warehouse, stores: DataFrame, *, as_of) -> bool:
         return False
     windows = due.withColumnsRenamed({"source_window_start": "checkpoint_start", "source_window_end": "checkpoint_end"})
     warehouse.upsert("pipeline_runs", ledger.queued_runs(windows, ledger.MART, as_of=as_of))
-    mine = warehouse.read("pipeline_runs").where(
-        (F.col("status") == "QUEUED") & (F.col("run_type") == ledger.MART) & (F.col("started_at") == instant(as_of)))
+    mine = settle(warehouse.read("pipeline_runs").where(
+        (F.col("status") == "QUEUED") & (F.col("run_type") == ledger.MART) & (F.col("started_at") == instant(as_of))), "mart-runs")
     try:
-        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"mart-{as_of}", **_since(warehouse, windows))
+        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"mart-{as_of}", stamps=mine, **_since(warehouse, windows))
     except Exception as error:
         close_failed(warehouse, mine, stage="MART_REFRESH", error=error, as_of=as_of)
         raise
@@ -113,7 +113,9 @@ def run_repair(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) ->
     try:
         replays = settle(ledger.replay_envelopes(windows), "replays")
         load_store_windows(warehouse, source, replays)
-        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"repair-{as_of}", **_since(warehouse, replays))
+        named = replayed.groupBy("store_id").agg(F.max("pipeline_run_id").alias("pipeline_run_id"))
+        stamps = settle(replays.join(named, "store_id"), "repair-stamps")
+        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"repair-{as_of}", stamps=stamps, **_since(warehouse, replays))
         ok = True
     except Exception:  # noqa: BLE001 - the failures go back to OPEN and stay in the table
         ok = False

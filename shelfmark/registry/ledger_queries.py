@@ -52,9 +52,10 @@ def _(spark, d):
     return for_output(ledger.next_windows(_stores(spark, d), _runs(spark, d), as_of=AS_OF))
 
 
-@query("transform_gate", RUNS + f""" SELECT s.store_id, {ISO.format('y.checkpoint_start')} AS source_window_start, {ISO.format('y.checkpoint_end')} AS source_window_end
- FROM stores s JOIN done y ON y.store_id = s.store_id AND y.run_type = 'INCREMENTAL_SYNC'
- LEFT JOIN done m ON m.store_id = s.store_id AND m.run_type = 'MART_REFRESH' WHERE m.checkpoint_end IS NULL OR m.checkpoint_end < y.checkpoint_end""")
+@query("transform_gate", RUNS + f""" SELECT s.store_id, {ISO.format('min(y.checkpoint_start)')} AS source_window_start, {ISO.format('max(y.checkpoint_end)')} AS source_window_end
+ FROM stores s JOIN runs y ON y.store_id = s.store_id AND y.run_type = 'INCREMENTAL_SYNC' AND y.status = 'SUCCEEDED'
+ LEFT JOIN done m ON m.store_id = s.store_id AND m.run_type = 'MART_REFRESH' WHERE m.checkpoint_end IS NULL OR m.checkpoint_end < y.checkpoint_end
+ GROUP BY 1""")
 def _(spark, d):
     return for_output(ledger.stores_to_transform(_stores(spark, d), _runs(spark, d), as_of=AS_OF))
 
