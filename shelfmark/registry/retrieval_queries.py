@@ -293,7 +293,7 @@ BRIEFING = DASHBOARDS + SUMMARY + RISK + f""",
  inv AS (SELECT store_id, count(*) FILTER (WHERE status = 'ACTIVE') AS active, count(*) FILTER (WHERE status = 'ACTIVE' AND reorder_threshold > 0 AND quantity_on_hand <= reorder_threshold) AS low,
   count(*) FILTER (WHERE status = 'ACTIVE' AND expiry_status <> 'OK') AS expiring, count(*) FILTER (WHERE reorder_threshold > 0 AND quantity_on_hand <= reorder_threshold) AS low_all FROM risky GROUP BY 1),
  near AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY alert_id) AS r FROM alerts WHERE status = 'ACTIVE'),
- open_n AS (SELECT store_id, count(*) AS n FROM near WHERE r <= 10 GROUP BY 1),
+ open_n AS (SELECT store_id, count(*) AS n FROM near GROUP BY 1),
  seller AS (SELECT p.store_id, MIN(p.product_id) AS product_id FROM products p JOIN latest l ON l.store_id = p.store_id
    AND lower(trim(p.name)) = lower(trim(l.top_selling_product)) WHERE p.status = 'ACTIVE' GROUP BY 1),
  pick AS (SELECT * FROM (SELECT p.*, s.product_id IS NOT NULL AS is_top, row_number() OVER (PARTITION BY p.store_id ORDER BY s.product_id IS NOT NULL DESC,
