@@ -1,7 +1,7 @@
 """Parquet tables under one root folder: create, read, keyed upsert, replace, append, purge.
 
-Every table is partitioned by a column that never changes for a key, so an upsert reads and
-rewrites only the folders its rows fall in.
+An upsert reads and rewrites only the folders its rows fall in. Where a key's day can change, the
+folder that holds the key now is looked up by its key columns and rewritten too.
 
 A change is first written whole to a staging folder and then published over the touched
 partitions. Publishing reads only the staged copy, so it can be repeated after a lost driver.
@@ -31,6 +31,12 @@ class Layout:
     day_of: str | None = None
     bucket_of: str | None = None
     buckets: int = 64
+    #: Whether a key's day can never change; where it can, an upsert looks up the stored day of its keys.
+    day_fixed: bool = False
+
+    @property
+    def may_move(self) -> bool:
+        return self.day_of is not None and self.day_of not in self.keys and not self.day_fixed
 
     @property
     def partition_column(self) -> str:
@@ -50,7 +56,7 @@ class Layout:
 LAYOUTS: dict[str, Layout] = {
     "transactions_raw": Layout(("transaction_id",), day_of="sale_timestamp"),
     "transaction_items_raw": Layout(("transaction_id", "product_id"), day_of="sale_timestamp"),
-    "inventory_snapshot_raw": Layout(("snapshot_id",), day_of="captured_at"),
+    "inventory_snapshot_raw": Layout(("snapshot_id",), day_of="captured_at", day_fixed=True),
     "customers_raw": Layout(("customer_id",), bucket_of="customer_id"),
     "alerts_raw": Layout(("alert_id",), bucket_of="alert_id"),
     "sales_daily": Layout(("store_id", "sales_date")),
@@ -207,10 +213,12 @@ class Warehouse:
         """Audit and event rows: only ever added."""
         self._put(name, self._conform(name, rows), "append")
 
-    def upsert(self, name: str, rows: DataFrame, *, run_id: str | None = None, check_keys: bool = True) -> Written:
+    def upsert(self, name: str, rows: DataFrame, *, run_id: str | None = None, check_keys: bool = True,
+               newest_by: str | None = None) -> Written:
         """Replace rows of equal key, add the others, remove none. Declared columns that ``rows`` does
         not have keep their stored value. ``run_id`` names the staging folder; hand it to
-        :meth:`publish` if a failure came between staging and publishing."""
+        :meth:`publish` if a failure came between staging and publishing. With ``newest_by`` a row gives
+        way to a stored one that is later in that column. A key is replaced in whichever folder it lies."""
         layout = LAYOUTS[name]
         run_id = run_id or uuid.uuid4().hex
         given = [f.name for f in self.schema(name).fields if f.name in rows.columns]
@@ -221,14 +229,29 @@ class Warehouse:
             twice = source.groupBy(*layout.keys).count().where("count > 1").limit(1)
             if not twice.isEmpty():
                 raise DuplicateKeys(f"{name}: a key occurs more than once in the rows to upsert")
-        touched = self._only(name, self._read_stored(name), self.folders_of(name, source))
+        folders, column = set(self.folders_of(name, source)), layout.partition_column
+        moved: set[str] = set()
+        if layout.may_move:
+            # Reads the key columns only; as many values as the table has days at most.
+            homes = self._read_stored(name).join(source.select(*layout.keys), list(layout.keys), "left_semi").select(column).distinct()
+            moved = {r[0] for r in homes.collect()} - folders
+        touched = self._only(name, self._read_stored(name), sorted(folders | moved))
+        if newest_by is not None:
+            stored = touched.select(*layout.keys, F.col(newest_by).alias("_stored_at"))
+            given_later = source.join(stored, list(layout.keys), "left").where(
+                F.col("_stored_at").isNull() | F.coalesce(F.col(newest_by) >= F.col("_stored_at"), F.lit(False)))
+            source = given_later.select(*source.columns)
         missing = [f.name for f in self.schema(name).fields if f.name not in given]
         columns = self._stored_schema(name).fieldNames()
         merged = merge_rows(touched.select(*columns), source, layout.keys, keep_stored=missing)
         self._stage(merged, run_id, name)
         self.publish(name, run_id)
+        if moved:
+            filled = {r[0] for r in self._staged(name, run_id, name).select(column).distinct().collect()}
+            for value in sorted(moved - filled):
+                self._drop_folder(name, value)
         # Counted from the store column of the files just written, not by running the source again.
-        counts = settle(source.groupBy("store_id").agg(F.count(F.lit(1)).alias("rows")), "counts")
+        counts = settle(self._staged(name, run_id, f"{name}_given").groupBy("store_id").agg(F.count(F.lit(1)).alias("rows")), "counts")
         self.clear_staging(run_id, name)
         return Written(counts)
 
@@ -241,6 +264,11 @@ class Warehouse:
         """Put the staged folders in place of the table's. Reads only staged data, so it can be repeated."""
         self._put(name, self._staged(name, run_id, name), "overwrite")
 
+    def _drop_folder(self, name: str, value: str) -> None:
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+        fs, path = self._filesystem(f"{self.path(name)}/{LAYOUTS[name].partition_column}={escaped}")
+        fs.delete(path, True)
+
     def replace_stores(self, name: str, rows: DataFrame) -> None:
         """Every store that has rows here gets exactly these rows."""
         if LAYOUTS[name].partition_column != "p_store":
@@ -269,10 +297,7 @@ class Warehouse:
                 self._stage(self._only(name, stored, shared).where(~mine).select(*columns), run_id, name)
                 self.publish(name, run_id)
             for value in emptied:
-                escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils \
-                    .escapePathName(value)
-                fs, path = self._filesystem(f"{self.path(name)}/{folder}={escaped}")
-                fs.delete(path, True)
+                self._drop_folder(name, value)
             self.clear_staging(run_id, name)
             if found:
                 gone.append(name)

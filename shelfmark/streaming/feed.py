@@ -20,15 +20,15 @@ def arriving(spark: SparkSession, folder: str, schema: str, *, files_per_trigger
 
 def feed_table(changes: DataFrame, warehouse: Warehouse, table: str, *, shape: Callable[[DataFrame], DataFrame],
                newest_by: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Upsert every micro-batch into ``table``. Of several changes of one key the newest counts. A batch
-    that runs twice after a failure writes the same rows again."""
+    """Upsert every micro-batch into ``table``. Of several changes of one key the newest counts, also
+    if an older one comes in a later batch. A batch that runs twice after a failure writes the same rows again."""
     keys = list(LAYOUTS[table].keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = shape(batch)
         ties = [F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys]).asc()]
         newest = newest_per(rows, keys, [F.desc(newest_by), *ties])
-        warehouse.upsert(table, newest, run_id=f"feed-{table}-{batch_id}", check_keys=False)
+        warehouse.upsert(table, newest, run_id=f"feed-{table}-{batch_id}", check_keys=False, newest_by=newest_by)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

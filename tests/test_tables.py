@@ -206,3 +206,41 @@ def test_upsert_reads_only_touched_folders_and_refresh_only_touched_days(spark,
     stamps = {(r.store_id, r.sales_date): r.analytics_last_updated_at for r in warehouse.read("sales_daily").collect()}
     assert stamps == {("s1", T0.date()): T0 + 3 * DAY, ("s1", (T0 + DAY).date()): T0 + 4 * DAY, ("s2", (T0 + 2 * DAY).date()): T0 + 3 * DAY}
     assert warehouse.read("product_sales_daily").where("product_id = 'a'").count() == 2
+
+
+def sales_rows(spark, *rows):
+    kind = "transaction_id string, store_id string, sale_timestamp timestamp, created_at timestamp, payment_method string"
+    return spark.createDataFrame([(t, "s1", at, made, how) for t, at, made, how in rows], kind)
+
+
+def test_upsert_moves_a_key_to_its_new_day(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    warehouse.upsert("transactions_raw", sales_rows(spark, ("t1", T0, T0, "a"), ("t2", T0 + DAY, T0, "a")))
+    warehouse.upsert("transactions_raw", sales_rows(spark, ("t1", T0 + DAY, T0, "b")))
+    rows = {(r.transaction_id, r.sale_timestamp, r.payment_method) for r in warehouse.read("transactions_raw").collect()}
+    assert rows == {("t1", T0 + DAY, "b"), ("t2", T0 + DAY, "a")}
+    later = sales_rows(spark, ("t1", T0, T0 - DAY, "old"), ("t2", T0 + DAY, T0 + DAY, "new"))
+    warehouse.upsert("transactions_raw", later, newest_by="created_at")
+    assert {(r.transaction_id, r.payment_method) for r in warehouse.read("transactions_raw").collect()} == {("t1", "b"), ("t2", "new")}
+
+
+def test_transform_takes_all_syncs_since_the_last(spark):
+    run = lambda i, store, kind, start, end, status="SUCCEEDED": {
+        "pipeline_run_id": str(i), "store_id": store, "run_type": kind, "status": status, "checkpoint_start": T0 + start * DAY,
+        "checkpoint_end": T0 + end * DAY, "finished_at": T0 + (10 + i) * DAY}
+    runs = frame(spark, "pipeline_runs", [
+        run(1, "s1", ledger.SYNC, 0, 1), run(2, "s1", ledger.MART, 0, 1), run(3, "s1", ledger.SYNC, 1, 2), run(4, "s1", ledger.MART, 1, 2, "FAILED"),
+        run(5, "s1", ledger.SYNC, 2, 3), run(6, "s2", ledger.SYNC, 0, 1), run(7, "s2", ledger.MART, 0, 1)])
+    stores = spark.createDataFrame([("s1",), ("s2",)], "store_id string")
+    assert [tuple(r) for r in ledger.stores_to_transform(stores, runs, as_of=T0).collect()] == [("s1", T0 + DAY, T0 + 3 * DAY)]
+
+
+def test_only_refreshed_stores_are_stamped(spark, source, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    as_of = T0 + 2 * DAY + dt.timedelta(hours=1)
+    repair.run_sync(warehouse, source, as_of=as_of)
+    assert repair.run_transform(warehouse, source["stores"].where("store_id = 's1'"), as_of=as_of)
+    runs = {r.pipeline_run_id: r for r in warehouse.read("pipeline_runs").where("run_type = 'MART_REFRESH'").collect()}
+    stamps = warehouse.read("analytics_metadata").collect()
+    assert [r.store_id for r in stamps] == ["s1"] and stamps[0].last_pipeline_run_id in runs
+    assert (stamps[0].source_window_start, stamps[0].source_window_end) == (as_of - 30 * DAY, as_of)
