@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import coerce, timing
 from shelfmark.functions.coerce import for_output
 from shelfmark.operators import customers as cust, listings
-from shelfmark.plans import raw_load, refresh
+from shelfmark.plans import raw_load, refresh, repair
 from shelfmark.registry import query
 from shelfmark.session import scratch_path
 from shelfmark.sources import testdata as td
@@ -241,3 +241,46 @@ def _(spark, d):
         raw_load.load_window(warehouse, source, since, until)
     refresh.refresh_marts(warehouse, as_of=AS_OF, run_id="run", window=("2001-04-01", "2001-07-01"))
     return for_output(warehouse.read("sales_daily").select("store_id", "sales_date", "total_sales", "transaction_count"))
+
+
+@query("upsert_moved_rows", """SELECT concat('e_', CAST(event_id AS VARCHAR)) AS event_id, concat('store_', CAST(user_id % 5 AS VARCHAR)) AS store_id,
+  strftime(CASE event_type WHEN 'click' THEN ts + INTERVAL '1' DAY ELSE ts END, '%Y-%m-%d') AS day FROM events""")
+def _(spark, d):
+    """All events, then the clicks once more, each a day later."""
+    warehouse = Warehouse(spark, scratch_path(spark, "moved-warehouse"))
+    rows = td.table(spark, d, "events").selectExpr(
+        "concat('e_', cast(event_id as string)) AS event_id", "concat('store_', cast(user_id % 5 as string)) AS store_id",
+        "cast(ts as timestamp) AS changed_at", "event_type")
+    warehouse.upsert("alert_events", rows.drop("event_type"))
+    moved = rows.where("event_type = 'click'").withColumn("changed_at", F.expr("changed_at + INTERVAL '1' DAY"))
+    warehouse.upsert("alert_events", moved.drop("event_type"))
+    return warehouse.read("alert_events").select("event_id", "store_id", F.date_format("changed_at", "yyyy-MM-dd").alias("day"))
+
+
+#: Three syncs of half a month each; every store is due with the window of all three.
+SYNC_ENDS = ("2001-05-01", "2001-05-16", "2001-05-31")
+
+
+def _synced(spark, d) -> Warehouse:
+    warehouse, source = Warehouse(spark, scratch_path(spark, "synced")), _entities(spark, d)
+    source["stores"] = source["products"].select("store_id").distinct()
+    for end in SYNC_ENDS:
+        repair.run_sync(warehouse, source, as_of=end)
+    repair.run_transform(warehouse, source["stores"], as_of=SYNC_ENDS[-1])
+    return warehouse
+
+
+@query("refresh_after_several_syncs", sql_views("transactions") + """ SELECT store_id, strftime(CAST(sale_timestamp AS DATE), '%Y-%m-%d') AS sales_date,
+  CAST(SUM(total_amount) AS DOUBLE) AS total_sales, CAST(COUNT(*) AS BIGINT) AS transaction_count FROM transactions
+ WHERE sale_timestamp >= TIMESTAMP '2001-04-01 00:00:00' AND sale_timestamp < TIMESTAMP '2001-05-31 00:00:00' GROUP BY 1, 2""")
+def _(spark, d):
+    return for_output(_synced(spark, d).read("sales_daily").select("store_id", "sales_date", "total_sales", "transaction_count"))
+
+
+@query("mart_metadata", sql_views("products") + """ SELECT DISTINCT store_id, true AS own_run, '2001-04-01T00:00:00+00:00' AS source_window_start,
+  '2001-05-31T00:00:00+00:00' AS source_window_end FROM products""")
+def _(spark, d):
+    warehouse = _synced(spark, d)
+    runs = warehouse.read("pipeline_runs").where("run_type = 'MART_REFRESH' AND status = 'SUCCEEDED'").select("store_id", "pipeline_run_id")
+    rows = warehouse.read("analytics_metadata").join(runs, "store_id", "left")
+    return for_output(rows.select("store_id", (F.col("last_pipeline_run_id") == F.col("pipeline_run_id")).alias("own_run"), "source_window_start", "source_window_end"))

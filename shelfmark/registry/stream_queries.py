@@ -127,3 +127,20 @@ def _(spark, d):
     arrive(rows.where(behind))
     read = lambda name: spark.read.schema(schema).parquet(f"{out}/{name}").select("event_id")
     return read("on_time").withColumn("is_late", F.lit(False)).unionByName(read("late").withColumn("is_late", F.lit(True)))
+
+
+@query("feed_out_of_order", """SELECT concat('e_', CAST(event_id AS VARCHAR)) AS event_id, concat('store_', CAST(user_id % 5 AS VARCHAR)) AS store_id, 'new' AS note,
+  strftime(ts, '%Y-%m-%d') AS day FROM events""")
+def _(spark, d):
+    """The later change of every event comes first, the older one, of the day before, in a later batch."""
+    warehouse = Warehouse(spark, scratch_path(spark, "order-warehouse"))
+    rows = td.table(spark, d, "events").selectExpr(
+        "concat('e_', cast(event_id as string)) AS event_id", "concat('store_', cast(user_id % 5 as string)) AS store_id",
+        "cast(ts as timestamp) AS changed_at", "'new' AS note")
+    folder, checkpoint, schema = scratch_path(spark, "order-files"), scratch_path(spark, "order-checkpoint"), _ddl(rows)
+    older = rows.withColumn("changed_at", F.expr("changed_at - INTERVAL '1' DAY")).withColumn("note", F.lit("old"))
+    for part in (rows, older):
+        part.write.mode("append").parquet(folder)
+        feed.feed_table(feed.arriving(spark, folder, schema, files_per_trigger=1000), warehouse, "alert_events", shape=lambda batch: batch,
+                        newest_by="changed_at", checkpoint=checkpoint).awaitTermination()
+    return warehouse.read("alert_events").select("event_id", "store_id", "note", F.date_format("changed_at", "yyyy-MM-dd").alias("day"))
