@@ -51,8 +51,8 @@ def by_id(df: DataFrame, key: str, value: str, store_id: str) -> DataFrame:
     return df.where((F.col(key) == value) & (F.col("store_id") == store_id))
 
 
-def by_ids(df: DataFrame, key: str, values: Sequence[str], store_id: str, *, most: int = 20) -> DataFrame:
-    """The first ``most`` distinct ids asked for, in the order asked; ids of other stores drop out."""
+def by_ids(df: DataFrame, key: str, values: Sequence[str], store_id: str, *, most: int | None = None) -> DataFrame:
+    """The distinct ids asked for (the first ``most``, if given), in the order asked; ids of other stores drop out."""
     wanted = list(dict.fromkeys(values))[:most]
     if not wanted:
         return df.where(F.lit(False))

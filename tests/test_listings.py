@@ -14,7 +14,7 @@ def test_ids_in_asked_order_within_the_store(spark):
     rows = spark.createDataFrame([(s, f"p{n}") for s in ("s", "t") for n in range(30)], "store_id string, product_id string")
     got = listings.by_ids(rows, "product_id", ["p9", "p3", "p9", "zz", "p1"], "s").collect()
     assert [(r.store_id, r.product_id) for r in got] == [("s", "p9"), ("s", "p3"), ("s", "p1")]
-    assert listings.by_ids(rows, "product_id", [f"p{n}" for n in range(30)], "s").count() == 20
+    assert listings.by_ids(rows, "product_id", [f"p{n}" for n in range(30)], "s", most=20).count() == 20
     assert listings.by_ids(rows, "product_id", [], "s").count() == 0
     assert listings.by_id(rows, "product_id", "p1", "u").count() == 0
     assert listings.distinct_stores(rows).count() == 2
