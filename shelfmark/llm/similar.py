@@ -11,6 +11,11 @@ such a pair meets; all 256 bits are compared there.
 The number of partitions and the thresholds come from dynamic programming over estimated candidate
 counts. A value that many fingerprints share is cut into blocks which meet two by two, and a task
 returns a spanning forest of its links, not its pairs: first over the sure links, then over the others.
+
+Whatever that leaves apart is settled exactly. With the shingles of all texts in one order, rare ones first,
+two sets of similarity s share one of their first n - ceil(s * n) + 1. The texts in each shingle's list are
+paired by their distance in it, near ones first, as long as they are in different groups; each pair's sets
+are compared. The order comes from a sketch of the shingles' counts: it decides the cost, never the result.
 """
 
 from __future__ import annotations
@@ -22,12 +27,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.llm import words as W
 from shelfmark.llm.components import components
 from shelfmark.llm.simhash import allocate, group_bits, keep_first
-from shelfmark.session import settle
+from shelfmark.session import release, settle
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -35,6 +41,8 @@ PARTS = [f"f{k}" for k in range(WORDS)]
 BLOCK = 4096  # fingerprints in a block of a value that many share
 SMALL = 32  # groups up to here are compared side by side
 ROW_COST = 200.0  # a probe row against one comparison
+SKETCH = 20  # bits of a shingle's hash that name its counter
+STEP = 4  # each round of the exact pass reaches so many times as far
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -60,7 +68,10 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
     """Bit b of word k is 1 if set in over half of the distinct shingles' k-th hashes; no words: zero."""
-    hashed = shingles(text, shingle)
+    return _folded(shingles(text, shingle))
+
+
+def _folded(hashed: np.ndarray) -> np.ndarray:
     counts = np.zeros(BITS, np.int64)
     for low in range(0, len(hashed), 1 << 14):
         part = hashed[low : low + (1 << 14), None]
@@ -70,16 +81,18 @@ def fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, f0..f3): ``key`` tells texts of equal ids apart."""
+    """(id, key, node, f0..f3): ``key`` tells texts of equal ids apart, ``node`` is a digest of the shingle set."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
-            made = np.stack([fingerprint(t, shingle) for t in W.as_bytes(batch["text"])] or [np.zeros(WORDS, np.uint64)])[: batch.num_rows].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], *(pa.array(made[:, k]) for k in range(WORDS))], names=["id", "key", *PARTS])
+            hashed = [shingles(t, shingle) for t in W.as_bytes(batch["text"])]
+            made = np.stack([_folded(h) for h in hashed] or [np.zeros(WORDS, np.uint64)])[: batch.num_rows].view(np.int64)
+            node = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashed], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], node, *(pa.array(made[:, k]) for k in range(WORDS))], names=["id", "key", "node", *PARTS])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(W.tidied(mark), f"id {kind}, key long, " + ", ".join(f"{c} long" for c in PARTS))
+    return rows.mapInArrow(W.tidied(mark), f"id {kind}, key long, node binary, " + ", ".join(f"{c} long" for c in PARTS))
 
 
 def _words(batch: pa.RecordBatch) -> np.ndarray:
@@ -250,48 +263,165 @@ def link_similar(fps: DataFrame, sure: int, limit: int, block: int = BLOCK) -> D
     return found.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), "sure").distinct()
 
 
-def _alike(similarity: float, shingle: int):
+def _alike(similarity: float):
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches, 64):
-            sets = [[shingles(t, shingle) for t in W.as_bytes(batch[c])] for c in ("a", "b")]
+            sets = [[np.frombuffer(t, np.uint64) for t in W.as_bytes(batch[c])] for c in ("a", "b")]
             shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)]
-            yield batch.select(["u", "v"]).filter(pa.array([n >= similarity * (len(x) + len(y) - n) for n, x, y in zip(shared, *sets)], pa.bool_()))
+            yield batch.select(["u", "v"]).filter(pa.array([n >= similarity * (len(x) + len(y) - n) - 1e-9 for n, x, y in zip(shared, *sets)], pa.bool_()))
 
     return alike
 
 
-def _checked(docs: DataFrame, named: DataFrame, unsure: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """The links of ``unsure`` whose texts' shingle sets are similar enough; one text stands for each fingerprint."""
-    ends = unsure.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    chosen = named.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c")).select("node", "c.id", "c.key")
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are similar enough."""
+    held = pairs.select("u", "v").join(sets.withColumnsRenamed({"node": "u", "hashes": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "hashes": "b"}), "v")
+    return held.select("u", "v", "a", "b").mapInArrow(W.tidied(_alike(similarity)), "u binary, v binary")
+
+
+def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, hashes): the shingle sets of ``nodes``, each from one text that has it."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.small(batches):
+            made = pa.array([shingles(t, shingle).tobytes() for t in W.as_bytes(batch["text"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["node"], made], names=["node", "hashes"])
+
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c")
+    chosen = marked.join(nodes, "node", "left_semi").groupBy("node").agg(first).select("node", F.col("c.id").alias("cid"), F.col("c.key").alias("ckey"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    held = rows.join(chosen.withColumnsRenamed({"id": "cid", "key": "ckey"}), F.col("id").eqNullSafe(F.col("cid")) & (F.col("key") == F.col("ckey")))
-    held = settle(held.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    pairs = unsure.join(held.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(held.withColumnsRenamed({"node": "v", "text": "b"}), "v")
-    return pairs.select("u", "v", "a", "b").mapInArrow(W.tidied(_alike(similarity, shingle)), "u string, v string")
+    held = rows.join(chosen, F.col("id").eqNullSafe(F.col("cid")) & (F.col("key") == F.col("ckey")))
+    return held.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(W.tidied(hashed), "node binary, hashes binary")
+
+
+def _levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """About four times the binary logarithm of how many shingles share each counter of the sketch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SKETCH, np.int64)
+        for batch in W.small(batches):
+            hashed = [shingles(t, shingle) >> np.uint64(64 - SKETCH) for t in W.as_bytes(batch["text"])]
+            seen += np.bincount(np.concatenate([np.empty(0, np.uint64), *hashed]).astype(np.int64), minlength=1 << SKETCH)
+        at = np.flatnonzero(seen)
+        yield pa.record_batch({"counter": pa.array(at.astype(np.int32)), "n": pa.array(seen[at])})
+
+    made = texts.mapInArrow(W.tidied(count), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(1 << SKETCH, np.uint8)
+    levels[made["counter"].to_numpy()] = np.rint(4 * np.log2(made["n"].to_numpy()))
+    return levels
+
+
+def _prefixes(levels: np.ndarray, similarity: float, shingle: int):
+    """(token, node, size, at): of each shingle set the first ones in the common order, with their places."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.small(batches, 256):
+            tokens, nodes, sizes, places = [np.empty(0, np.uint64)], [], [], [np.empty(0, np.int32)]
+            for hashed in (shingles(t, shingle) for t in W.as_bytes(batch["text"])):
+                n = len(hashed) - math.ceil(similarity * len(hashed) - 1e-9) + 1 if len(hashed) else 0
+                tokens.append(hashed[np.lexsort((hashed, levels[hashed >> np.uint64(64 - SKETCH)]))[:n]])
+                nodes.append(xxhash.xxh3_128_digest(hashed.tobytes()))
+                sizes.append(len(hashed))
+                places.append(np.arange(n, dtype=np.int32))
+            own = np.repeat(np.arange(len(nodes)), [len(x) for x in places[1:]])
+            held = (pa.array(nodes, pa.binary()).take(pa.array(own)), pa.array(sizes, pa.int32()).take(pa.array(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *held, pa.array(np.concatenate(places))], names=["token", "node", "size", "at"])
+
+    return emit
+
+
+def _placed(lists: DataFrame) -> DataFrame:
+    """``lists`` with each row's ``rank`` in its token's list by size and node; a long list spans many partitions."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, done = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            tokens = batch["token"].to_numpy()
+            if not len(tokens):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            within = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
+            if tokens[0] == last:
+                within[: starts[1] if len(starts) > 1 else len(tokens)] += done
+            last, done = tokens[-1], int(within[-1]) + 1
+            added = [pa.array(np.full(len(tokens), part, np.int32)), pa.array(within)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "part", "within"])
+
+    ordered = lists.repartitionByRange("token", "size", "node").sortWithinPartitions("token", "size", "node")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lists.schema.fields)
+    numbered = settle(ordered.mapInArrow(number, f"{fields}, part int, within long"), "numbered")
+    before = Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = numbered.groupBy("token", "part").agg(F.count("*").alias("held"))
+    past = held.withColumn("past", F.sum("held").over(before)).where("past > 0").select("token", "part", "past")
+    return numbered.join(past, ["token", "part"], "left").withColumn("rank", F.col("within") + F.coalesce("past", F.lit(0))).drop("part", "within", "past")
+
+
+def candidate_lists(docs: DataFrame, similarity: float, text_col: str, shingle: int) -> DataFrame:
+    """(token, node, size, at, n, rank): lists of the shingle sets that may be this similar; two that are share one."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    rows = texts.mapInArrow(W.tidied(_prefixes(_levels(texts, shingle), similarity, shingle)), "token long, node binary, size int, at int")
+    rows = settle(rows.distinct(), "prefixes")
+    shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    lists = settle(rows.join(shared, "token"), "lists")
+    release(rows)
+    return settle(_placed(lists), "placed")
+
+
+def _renamed(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the group in ``column`` replaced where ``groups`` (node, component) has another name for it."""
+    to = groups.select(F.col("node").alias(column), F.col("component").alias("__to"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+
+
+def join_exactly(placed: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> list[DataFrame]:
+    """Components (node, component) over the groups of ``roots``, one table a round, to be applied in turn.
+
+    Round by round rows of a list meet that are further apart in it; a list is done when all its rows
+    are in one group or no distance is left, so in the end no pair in different groups is unchecked.
+    """
+    live, low, made = _renamed(placed.withColumn("own", F.col("node")), roots, "own"), 1, []
+    while True:
+        apart = live.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+        live = settle(live.where(F.col("n") > low).join(apart, "token", "left_semi"), "live")
+        if not live.head(1):
+            return made
+        far = F.least(F.lit(STEP * low - 1), F.col("n") - 1 - F.col("rank"))
+        left = live.where(F.col("rank") + low < F.col("n")).select("token", F.struct("node", "own").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), F.explode(F.sequence(F.col("rank") + low, F.col("rank") + far)).alias("rank"))
+        met = left.join(live.select("token", "rank", F.struct("node", "own").alias("y"), "size", "at"), ["token", "rank"]).where("x.own <> y.own")
+        # as many shingles as this one and those after it can be shared if it is the first shared one, as in one list of a pair
+        need = F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("size")) - 1e-6
+        met = met.where(F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at")) >= need)
+        pairs = settle(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(F.col("x.node").alias("u"), F.col("x.own").alias("u_own"), F.col("y.node").alias("v"), F.col("y.own").alias("v_own")), "pairs")
+        links = settle(_checked(pairs, sets, similarity).join(pairs, ["u", "v"]).select("u_own", "v_own"), "checked")
+        if links.head(1):
+            made.append(settle(components(links, "u_own", "v_own"), "joined"))
+            live = _renamed(live, made[-1], "own")
+        low *= STEP
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies: that of the smallest id,
     then of the smallest text hash. All columns stay, in their order.
 
-    A group is what links lead to; two texts link if their fingerprints differ in few bits
-    (``limits_for``), near the limit also if their shingle sets are of ``similarity`` or more. A-Z is
-    lower-cased; a text of fewer words than a shingle is one shingle; null and empty texts have
-    fingerprint zero and form one group. Null ids come last; of rows that repeat id and text one is kept.
+    A group is what links lead to; two texts link if their shingle sets are of ``similarity`` or more,
+    compared exactly, or if their fingerprints differ in few bits (the first of ``limits_for``). A-Z is
+    lower-cased; a text of fewer words than a shingle is one shingle; null and empty texts form one
+    group. Null ids come last; of rows that repeat id and text one is kept.
     """
     sure, limit = limits_for(similarity)
     marked = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    named = marked.select("id", "key", _node("f").alias("node"))
+    named = marked.select("node", _node("f").alias("print")).distinct()
+    named = settle(named.join(named.groupBy("print").agg(F.min("node").alias("rep")), "print"), "named")
     links = settle(link_similar(settle(marked.select(*PARTS).distinct(), "distinct"), sure, limit), "links")
-    close = links.where("sure").select("u", "v")
-    roots = settle(components(close, "u", "v"), "roots")
-    side = lambda end: roots.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
-    rooted_ends = links.where("not sure").join(side("u"), "u", "left").join(side("v"), "v", "left")
-    rooted_ends = rooted_ends.withColumns({f"root_{end}": F.coalesce(f"root_{end}", end) for end in "uv"}).where("root_u != root_v")
-    unsure = settle(rooted_ends.select("u", "v", "root_u", "root_v"), "unsure")
-    checked = _checked(docs, named, unsure.select("u", "v"), similarity, id_col, text_col, shingle)
-    joined = components(checked.join(unsure, ["u", "v"]), "root_u", "root_v").select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    rooted = named.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")).join(joined, "component", "left")
-    rooted = settle(rooted.select("id", "key", F.coalesce("joined", "component").alias("root")), "rooted")
-    return keep_first(docs, rooted, id_col, text_col)
+    reps = named.select("print", "rep").distinct()
+    ends = links.join(reps.withColumnsRenamed({"print": "u", "rep": "a"}), "u").join(reps.withColumnsRenamed({"print": "v", "rep": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), "sure")
+    ends = settle(ends.unionByName(named.where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"), F.lit(True).alias("sure"))), "ends")
+    placed = candidate_lists(docs, similarity, text_col, shingle)
+    nodes = placed.select("node").unionByName(ends.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    sets = settle(_sets(docs, marked, nodes, id_col, text_col, shingle), "sets")
+    checked = _checked(ends.where("not sure"), sets, similarity)
+    roots = settle(components(ends.where("sure").select("u", "v").unionByName(checked)), "roots")
+    rooted = _renamed(marked.select("id", "key", F.col("node").alias("root")), roots, "root")
+    for joined in join_exactly(placed, sets, roots, similarity):
+        rooted = _renamed(rooted, joined, "root")
+    return keep_first(docs, settle(rooted, "rooted"), id_col, text_col)

@@ -294,3 +294,29 @@ def test_similar_odd(spark):
     texts = [brute.low(r.text).split() for r in made]
     assert sum(not t for t in texts) == 1 and len({tuple(t) for t in texts}) == len(texts)
     assert similar.drop_similar(frame(spark, ODD).limit(0)).count() == 0
+
+
+def _alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def _edited(rng, base, edits):
+    own = list(base)
+    for at in rng.sample(range(len(own)), edits):
+        own[at] = "".join(rng.choice("abcdefghij") for _ in range(6))
+    return own
+
+
+def test_similar_recall(spark):
+    """Pairs at 0.80 to 0.85, texts of 5 to 400 shingles: every one is found."""
+    rng, rows, pairs = random.Random(8), [], []
+    while len(pairs) < 300:
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.choice((8, 14, 30, 55, 105, 205, 404)))]
+        own = base + _edited(rng, base, 1)[-1:] if len(base) < 10 else _edited(rng, base, rng.randint(1, max(1, len(base) // 35)))
+        pair = [" ".join(base), " ".join(own)]
+        if 0.8 <= _alike(*_sets(enumerate(pair)).values()) <= 0.85:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += enumerate(pair, len(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in similar.drop_similar(docs).collect()}
+    assert [p for p in pairs if set(p) <= kept] == [] and kept == {a for a, _ in pairs}
