@@ -404,7 +404,7 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     then of the smallest text hash. All columns stay, in their order.
 
     A group is what links lead to; two texts link if their shingle sets are of ``similarity`` or more,
-    compared exactly, or if their fingerprints differ in few bits (the first of ``limits_for``). A-Z is
+    compared exactly, and no other do. A-Z is
     lower-cased; a text of fewer words than a shingle is one shingle; null and empty texts form one
     group. Null ids come last; of rows that repeat id and text one is kept.
     """
@@ -419,8 +419,7 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     placed = candidate_lists(docs, similarity, text_col, shingle)
     nodes = placed.select("node").unionByName(ends.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     sets = settle(_sets(docs, marked, nodes, id_col, text_col, shingle), "sets")
-    checked = _checked(ends.where("not sure"), sets, similarity)
-    roots = settle(components(ends.where("sure").select("u", "v").unionByName(checked)), "roots")
+    roots = settle(components(_checked(ends, sets, similarity)), "roots")
     rooted = _renamed(marked.select("id", "key", F.col("node").alias("root")), roots, "root")
     for joined in join_exactly(placed, sets, roots, similarity):
         rooted = _renamed(rooted, joined, "root")

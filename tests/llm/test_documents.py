@@ -320,3 +320,15 @@ def test_similar_recall(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in similar.drop_similar(docs).collect()}
     assert [p for p in pairs if set(p) <= kept] == [] and kept == {a for a, _ in pairs}
+
+
+def test_similar_below(spark):
+    """Texts whose nearest is at 0.70 to 0.79 stay."""
+    rng, rows = random.Random(4), []
+    while len(rows) < 800:
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.choice((30, 55, 105)))]
+        pair = [" ".join(base), " ".join(_edited(rng, base, len(base) // 28))]
+        if 0.7 <= _alike(*_sets(enumerate(pair)).values()) < 0.8:
+            rows += enumerate(pair, len(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similar.drop_similar(docs).count() == len(rows)
