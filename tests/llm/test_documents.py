@@ -332,3 +332,14 @@ def test_similar_below(spark):
             rows += enumerate(pair, len(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert similar.drop_similar(docs).count() == len(rows)
+
+
+def test_similar_large_group(spark):
+    """Over 32 edited copies of one text meet everywhere: the first of each group that links of 0.8 or more make stays."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+    rows = [(i, " ".join(_edited(rng, base, rng.randint(2, 6)))) for i in range(150)]
+    sets = _sets(rows)
+    root = brute.groups(len(rows), lambda a, b: _alike(sets[a], sets[b]) >= 0.8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in similar.drop_similar(docs).collect()} == set(root)
