@@ -27,6 +27,9 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPACE = r"\x20\x09-\x0D"
 #: A token with a digit or an @.
 TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+_GROUP = rf"[^{_SPACE}A-Za-z0-9]*+[0-9][^{_SPACE}A-Za-z]*+(?![^{_SPACE}])"
+#: Neighbouring tokens of digits without letters.
+RUN = rf"(?<![^{_SPACE}]){_GROUP}(?:[\x20\x09]++{_GROUP})++"
 REACH = 48  # characters of context on either side
 
 
@@ -80,7 +83,10 @@ def _context(text: Column, start: Column, end: Column) -> list[Column]:
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One slim row per row of ``docs``: id, key (text hash), base spans and other candidates, both with their contexts."""
+    """One slim row per row of ``docs``: id, key (text hash), base spans, other candidates and tokens inside these, all with their contexts.
+
+    Candidates are runs of digit groups between the base spans, and tokens outside these runs.
+    """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     likely = text.rlike("[0-9@]")
@@ -90,23 +96,33 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     other = F.transform(tokens, lambda s: F.struct(F.lit("").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     rows = rows.withColumn("other", F.when(likely, other).otherwise(none))
     rows = rows.withColumn("other", F.filter("other", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    length = lambda s: s["end"] - s["start"]
+    masked = F.aggregate("base", text, lambda acc, s: F.overlay(acc, F.repeat(F.lit("x"), length(s)), s["start"] + 1, length(s)))
+    runs = F.filter(spans_of(masked, RUN), lambda s: F.length(_digits(s["value"])) >= 4)
+    runs = F.transform(runs, lambda s: F.struct(F.lit("").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    rows = rows.withColumn("runs", F.when(text.rlike(rf"[0-9][^{_SPACE}]*+[\x20\x09]++[^{_SPACE}0-9]*+[0-9]"), runs).otherwise(none))
+    inside = lambda s: F.exists("runs", lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"]))
+    rows = rows.withColumns({"inner": F.filter("other", inside), "other": F.concat("runs", F.filter("other", lambda s: ~inside(s)))})
 
     def shown(column: str) -> Column:
         return F.transform(column, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), *_context(text, s["start"], s["end"]))).alias(column)
 
-    return rows.select("id", "key", shown("base"), shown("other"))
+    return rows.select("id", "key", shown("base"), shown("other"), shown("inner"))
 
 
 def discover(found: DataFrame, least: float = 0.9, support: int = 5, rounds: int = 3) -> DataFrame:
     """(value, kind): candidate values that sure patterns place.
 
     A pattern needs ``support`` different known values of a kind, and a share of at least ``least`` of
-    all different values in its place. A value takes the kind it is surest of, the earlier in KINDS
-    on a tie.
+    all different values in its place. At the start or end of a text the other side's word is the
+    pattern. A value takes the kind it is surest of, the earlier in KINDS on a tie.
     """
     seen = found.select(F.explode(F.concat("base", "other")).alias("s")).select("s.kind", "s.value", "s.left", "s.right")
-    patterns = F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"), F.concat_ws(" ", F.lit("b"), "left", "right"))
-    edges = seen.where("left <> '' and right <> ''").select("kind", "value", F.explode(patterns).alias("pattern")).distinct()
+    has = {side: F.col(side) != "" for side in ("left", "right")}
+    patterns = F.array_compact(F.array(
+        F.when(has["left"], F.concat(F.lit("l "), "left")), F.when(has["right"], F.concat(F.lit("r "), "right")), F.when(has["left"] & has["right"], F.concat_ws(" ", F.lit("b"), "left", "right"))
+    ))
+    edges = seen.select("kind", "value", F.explode(patterns).alias("pattern")).distinct()
     edges = settle(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     known = edges.where("kind <> ''").select("value", "kind").distinct()
@@ -125,15 +141,17 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: the id, base and spans, arrays of struct<kind, start, end, value>.
 
     base holds the matches by form, by kind (email, ip, card, phone) and start; spans holds these and
-    the spans that contexts add, in the same order. Places are code points, ends exclusive. Null and
+    the spans that contexts add, in the same order; of two that contexts add, one inside the other, the longer. Places are code points, ends exclusive. Null and
     empty texts have no spans. Rows that repeat id and text get the same spans. Other columns are not
     read.
     """
     found = settle(mentions(docs, id_col, text_col), "mentions")
     taken = discover(found, least, support, rounds).withColumnRenamed("kind", "as_kind")
-    places = found.where(F.size("other") > 0).select("id", "key", F.explode("other").alias("s")).select("id", "key", "s.start", "s.end", "s.value").distinct()
+    places = found.where(F.size("other") > 0).select("id", "key", F.explode(F.concat("other", "inner")).alias("s")).select("id", "key", "s.start", "s.end", "s.value").distinct()
     slim = "array<struct<kind:string,start:int,end:int,value:string>>"
     more = places.join(taken, "value").groupBy(F.col("id").alias("m_id"), F.col("key").alias("m_key")).agg(F.collect_list(F.struct(F.col("as_kind").alias("kind"), "start", "end", "value")).alias("more"))
+    wider = lambda s: F.exists("more", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+    more = more.withColumn("more", F.filter("more", lambda s: ~wider(s)))
     joined = found.join(more, F.col("id").eqNullSafe(F.col("m_id")) & F.col("key").eqNullSafe(F.col("m_key")), "left")
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     every = F.concat(base, F.coalesce("more", F.array().cast(slim)))

@@ -171,6 +171,20 @@ def test_private_contexts_find_more(spark):
     assert made[100] == [("phone", "0456-555-2186")] and made[101] == []
 
 
+def test_private_at_the_edges(spark):
+    rows = [(i, f"my account +1 (456) 555-2{i:03d}") for i in range(30)] + [(i, f"+1 (456) 555-3{i:03d} is mine") for i in range(40, 70)]
+    rows += [(100, "my account 9912-4471"), (101, "9912-4472 is mine"), (102, "9912-4473"), (103, "no place 9912-4474")]
+    made = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in private.find_private(frame(spark, rows)).collect()}
+    assert [made[i] for i in range(100, 104)] == [[("phone", "9912-4471")], [("phone", "9912-4472")], [], []]
+
+
+def test_private_spaced_groups(spark):
+    rows = [(i, f"please call hotline +1 (456) 555-2{i:03d} today for help") for i in range(60)]
+    rows += [(100, "please call hotline 99 12 44 71 today for help"), (101, "in 99 12 44 72 cases"), (102, "call 9 99 or hotline 9912 44 today or +1 (456) 555-2186 7")]
+    made = {r.doc_id: [(s.kind, s.start, s.value) for s in r.spans] for r in private.find_private(frame(spark, rows)).collect()}
+    assert made[100] == [("phone", 20, "99 12 44 71")] and made[101] == [] and [s[2] for s in made[102]] == ["9912 44", "+1 (456) 555-2186 7"]
+
+
 def test_token_counts(spark, sf, docs):
     from tokenizers import Tokenizer
 
