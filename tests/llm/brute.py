@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 PLAIN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,3 +134,80 @@ def private(text: str | None) -> list[tuple[str, int, int]]:
         return kind == "email" or 9 <= len(digits) <= 15
 
     return [(k, m.start(), m.end()) for k, form in FORMS.items() for m in re.finditer(form, text or "") if good(k, m.group())]
+
+
+def chat_valid(roles: list[str]) -> bool:
+    last = ""
+    for role in roles:
+        if role not in {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}.get(last, ()):
+            return False
+        last = role
+    return last == "assistant"
+
+
+def crc(doc_id) -> int:
+    return zlib.crc32(str(doc_id).encode())
+
+
+def merkle(rows: list[dict], changed: list[dict]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of each row; rows of equal id by leaf."""
+
+    def leaf(r: dict) -> str:
+        return sha("".join("-" if r[c] is None else f"{len(str(r[c]).encode())}:{r[c]}" for c in ("doc_id", "source", "lang", "n_chars", "text")))
+
+    def grow(digests: list[str]) -> tuple[str, list[list[tuple[str, str]]]]:
+        """The top, and for each digest the siblings before and behind, level by level."""
+        level, where, steps = digests, list(range(len(digests))), [[] for _ in digests]
+        while len(level) > 1:
+            for k, i in enumerate(where):
+                low = i - i % 3
+                steps[k].append(("".join(level[low:i]), "".join(level[i + 1 : low + 3])))
+            level = [sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+            where = [i // 3 for i in where]
+        return level[0], steps
+
+    own, trees = [leaf(r) for r in rows], defaultdict(list)
+    for k, r in enumerate(rows):
+        trees[r["source"]].append(k)
+    order = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    made = {}
+    for source in order:
+        trees[source].sort(key=lambda k: (rows[k]["doc_id"] is not None, rows[k]["doc_id"] or 0, own[k]))
+        made[source] = grow([own[k] for k in trees[source]])
+    root, over = grow([made[s][0] for s in order]) if order else ("", [])
+    out = []
+    for s, top_steps in zip(order, over):
+        for k, steps in zip(trees[s], made[s][1]):
+            folded = leaf(changed[k])
+            for before, behind in steps + top_steps:
+                folded = sha(before + folded + behind)
+            proof = sha("".join(a + b for a, b in steps + top_steps))
+            out.append((rows[k]["doc_id"], own[k], made[s][0], root, proof, folded, folded == root))
+    return out
+
+
+def plant(words: list[str], doc_id) -> list[str]:
+    h, n = crc(doc_id), len(words)
+    g = h // 10
+    if h % 10 or not n or doc_id is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def periodic(words: list[str], least: int = 24, repeats: int = 3) -> tuple[list[tuple[int, int, int]], list[str]]:
+    """(start, length, period) of all runs by trying every lag, and the words left."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    x = np.array([number[w] for w in words], dtype=np.int64)
+    found = []
+    for q in range(1, len(x) // repeats + 1):
+        same = np.concatenate(([False], x[q:] == x[:-q], [False]))
+        edges = np.flatnonzero(np.diff(same.astype(np.int8)))
+        for low, high in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            length = high - low + q
+            part = x[low : low + length]
+            if length >= max(least, repeats * q) and not any((part[p:] == part[:-p]).all() for p in range(1, q)):
+                found.append((low, length, q))
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return sorted(found, key=lambda r: (r[0], r[2])), [w for i, w in enumerate(words) if i not in gone]
