@@ -121,8 +121,9 @@ def shape_window(source, since, until) -> dict[str, DataFrame]:
 
 
 def load_window(warehouse: Warehouse, source, since, until) -> dict[str, Written]:
-    """Upsert the window into the raw tables; returns what was written per table.
+    """Upsert the window into the raw tables, in one version; returns what was written per table.
 
     The counts come from the written files. Loading a window again changes nothing.
     """
-    return {name: warehouse.upsert(name, frame) for name, frame in shape_window(source, since, until).items()}
+    with warehouse.transaction():
+        return {name: warehouse.upsert(name, frame) for name, frame in shape_window(source, since, until).items()}

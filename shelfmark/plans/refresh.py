@@ -39,9 +39,14 @@ def refresh_marts(warehouse: Warehouse, *, as_of, run_id: str, window: tuple | N
     With ``touched`` only those store-days are recomputed, and with ``customers_since`` only customers
     captured from then on. ``stamps`` (store_id, pipeline_run_id, checkpoint_start, checkpoint_end) names
     the stores that are fresh afterwards, by their own runs; without it all stores with raw data are,
-    by ``run_id`` and ``window``. The metadata row that readers take freshness from is written after all
-    five tables; a failure before that leaves it as it was.
+    by ``run_id`` and ``window``. The five tables and the metadata rows that readers take freshness from
+    appear together, in one version; a failure anywhere before leaves all six as they were.
     """
+    with warehouse.transaction():
+        _refresh(warehouse, as_of, run_id, window, touched, customers_since, stamps)
+
+
+def _refresh(warehouse: Warehouse, as_of, run_id: str, window, touched, customers_since, stamps) -> None:
     read = warehouse.read
     sales = marts.sales_daily(_whole_days(warehouse, "transactions_raw", touched), refreshed_at=as_of)
     warehouse.upsert("sales_daily", sales, check_keys=False)

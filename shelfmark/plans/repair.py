@@ -34,7 +34,9 @@ def shape_store_windows(source: dict[str, DataFrame], windows: DataFrame) -> dic
 
 
 def load_store_windows(warehouse: Warehouse, source: dict[str, DataFrame], windows: DataFrame) -> dict[str, Written]:
-    return {name: warehouse.upsert(name, frame) for name, frame in shape_store_windows(source, windows).items()}
+    """The five raw tables, in one version."""
+    with warehouse.transaction():
+        return {name: warehouse.upsert(name, frame) for name, frame in shape_store_windows(source, windows).items()}
 
 
 def run_sync(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) -> dict[str, Written]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions import coerce, timing
 from shelfmark.functions.coerce import for_output
@@ -261,12 +263,12 @@ def _(spark, d):
 SYNC_ENDS = ("2001-05-01", "2001-05-16", "2001-05-31")
 
 
-def _synced(spark, d) -> Warehouse:
-    warehouse, source = Warehouse(spark, scratch_path(spark, "synced")), _entities(spark, d)
+def _synced(spark, d, ends=SYNC_ENDS, **given) -> Warehouse:
+    warehouse, source = Warehouse(spark, scratch_path(spark, "synced")), {**_entities(spark, d), **given}
     source["stores"] = source["products"].select("store_id").distinct()
-    for end in SYNC_ENDS:
+    for end in ends:
         repair.run_sync(warehouse, source, as_of=end)
-    repair.run_transform(warehouse, source["stores"], as_of=SYNC_ENDS[-1])
+    repair.run_transform(warehouse, source["stores"], as_of=ends[-1])
     return warehouse
 
 
@@ -284,3 +286,83 @@ def _(spark, d):
     runs = warehouse.read("pipeline_runs").where("run_type = 'MART_REFRESH' AND status = 'SUCCEEDED'").select("store_id", "pipeline_run_id")
     rows = warehouse.read("analytics_metadata").join(runs, "store_id", "left")
     return for_output(rows.select("store_id", (F.col("last_pipeline_run_id") == F.col("pipeline_run_id")).alias("own_run"), "source_window_start", "source_window_end"))
+
+
+def _sale_lines(spark, d):
+    """The lines with their sale's store and time."""
+    sales = td.transactions(spark, d).select("transaction_id", "store_id", "sale_timestamp", F.col("sale_timestamp").alias("created_at"))
+    return td.items(spark, d).drop("store_id", "sale_timestamp").join(sales, "transaction_id")
+
+
+#: The last sync ends within a day, so that the day has a dashboard row.
+MIDDAY_ENDS = (*SYNC_ENDS[:-1], "2001-05-31 12:00:00")
+LOADED = "sale_timestamp >= TIMESTAMP '2001-04-01 00:00:00' AND sale_timestamp < TIMESTAMP '2001-05-31 12:00:00'"
+
+
+@query("marts_of_one_version", sql_views("transactions", "products", "customers") + f""",
+ lines AS (SELECT concat('store_', CAST(o_custkey % 5 AS VARCHAR)) AS store_id, CAST(l_partkey AS VARCHAR) AS product_id, p_name AS product_name,
+   CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS line_total, CAST(o_orderdate AS TIMESTAMP) AS sale_timestamp
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+ sales AS (SELECT store_id, CAST(sale_timestamp AS DATE) AS day, SUM(total_amount) AS total, COUNT(*) AS n FROM transactions WHERE {LOADED} GROUP BY 1, 2),
+ sold AS (SELECT store_id, CAST(sale_timestamp AS DATE) AS day, product_id, MAX(product_name) AS product_name, SUM(quantity) AS n, SUM(line_total) AS total
+  FROM lines WHERE {LOADED} GROUP BY 1, 2, 3),
+ health AS (SELECT *, quantity_on_hand < reorder_threshold AS low FROM products WHERE updated_at >= TIMESTAMP '2001-04-01 00:00:00' AND updated_at < TIMESTAMP '2001-05-31 12:00:00'),
+ people AS (SELECT * FROM customers WHERE created_at >= TIMESTAMP '2001-04-01 00:00:00' AND created_at < TIMESTAMP '2001-05-31 12:00:00'),
+ top AS (SELECT store_id, max_by(product_name, (n, product_name, product_id)) AS product_name FROM sold WHERE day = DATE '2001-05-31' GROUP BY 1),
+ low AS (SELECT store_id, count(*) FILTER (WHERE low) AS n FROM health GROUP BY 1)
+ SELECT 'sales_daily' AS mart, store_id, strftime(day, '%Y-%m-%d') AS day, NULL AS id, NULL AS name, CAST(n AS BIGINT) AS n, CAST(total AS DOUBLE) AS amount FROM sales
+ UNION ALL SELECT 'product_sales_daily', store_id, strftime(day, '%Y-%m-%d'), product_id, product_name, CAST(n AS BIGINT), CAST(total AS DOUBLE) FROM sold
+ UNION ALL SELECT 'customer_summary', store_id, NULL, customer_id, name, visit_count, CAST(total_spend AS DOUBLE) FROM people
+ UNION ALL SELECT 'inventory_health', store_id, '2001-05-31', product_id, name, quantity_on_hand, CAST(date_diff('day', DATE '2001-05-31', CAST(expiry_date AS DATE)) AS DOUBLE) FROM health
+ UNION ALL SELECT 'dashboard_summary', s.store_id, '2001-05-31', NULL, top.product_name, CAST(coalesce(low.n, 0) AS BIGINT), CAST(s.total AS DOUBLE)
+  FROM sales s LEFT JOIN top ON top.store_id = s.store_id LEFT JOIN low ON low.store_id = s.store_id WHERE s.day = DATE '2001-05-31'""")
+def _(spark, d):
+    """All five marts after three syncs, read from one version."""
+    reader = _synced(spark, d, MIDDAY_ENDS, lines=_sale_lines(spark, d)).at()
+    none = "cast(null as string)"
+    shapes = {
+        "sales_daily": ("sales_date", none, none, "transaction_count", "total_sales"),
+        "product_sales_daily": ("sales_date", "product_id", "product_name", "quantity_sold", "revenue"),
+        "customer_summary": ("cast(null as date)", "customer_id", "customer_name", "visit_count", "lifetime_spend"),
+        "inventory_health": ("snapshot_date", "product_id", "product_name", "quantity_on_hand", "days_to_expiry"),
+        "dashboard_summary": ("snapshot_date", none, "top_selling_product", "low_stock_count", "today_sales"),
+    }
+    frames = [reader.read(mart).selectExpr(f"'{mart}' AS mart", "store_id", f"date_format({day}, 'yyyy-MM-dd') AS day", f"{key} AS id", f"{name} AS name", f"{n} AS n", f"cast({amount} as double) AS amount")
+              for mart, (day, key, name, n, amount) in shapes.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query("purge_store", sql_views("transactions", "customers") + f""", sales AS (SELECT * FROM transactions WHERE {LOADED} AND store_id <> 'store_1')
+ SELECT 'transactions_raw' AS name, store_id, COUNT(*) AS n FROM sales GROUP BY 2
+ UNION ALL SELECT 'sales_daily', store_id, COUNT(DISTINCT CAST(sale_timestamp AS DATE)) FROM sales GROUP BY 2
+ UNION ALL SELECT 'customers_raw', store_id, COUNT(*) FROM customers WHERE store_id <> 'store_1' AND created_at >= TIMESTAMP '2001-04-01 00:00:00' AND created_at < TIMESTAMP '2001-05-31 12:00:00' GROUP BY 2""")
+def _(spark, d):
+    """What is left of three tables once one store has left."""
+    warehouse = _synced(spark, d, MIDDAY_ENDS)
+    warehouse.purge_store("store_1")
+    frames = [warehouse.read(name).groupBy("store_id").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name in ("transactions_raw", "sales_daily", "customers_raw")]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query("replace_stores", """SELECT concat('store_', CAST(vec_id % 5 AS VARCHAR)) AS store_id, CAST(vec_id AS VARCHAR) AS product_id, len(embedding) AS n_dims,
+  vec_id % 5 < 2 AS replaced FROM embeddings WHERE vec_id % 5 >= 2 OR vec_id % 2 = 0""")
+def _(spark, d):
+    """All vectors, then two stores' anew, of every other product only."""
+    warehouse = Warehouse(spark, scratch_path(spark, "replaced"))
+    rows = td.embeddings(spark, d)
+    warehouse.replace_stores("product_embeddings", rows.withColumn("embedding_text", F.lit("first")))
+    anew = rows.where("store_id IN ('store_0', 'store_1') AND cast(product_id as bigint) % 2 = 0")
+    warehouse.replace_stores("product_embeddings", anew.withColumn("embedding_text", F.lit("second")))
+    return warehouse.read("product_embeddings").select("store_id", "product_id", F.size("embedding").cast("long").alias("n_dims"), (F.col("embedding_text") == "second").alias("replaced"))
+
+
+@query("append_rows", """SELECT concat('e_', CAST(event_id AS VARCHAR)) AS event_id, 'store_' || (user_id % 5) AS store_id FROM events UNION ALL
+ SELECT concat('e_', CAST(event_id AS VARCHAR)), 'store_' || (user_id % 5) FROM events WHERE event_type = 'click'""")
+def _(spark, d):
+    """Audit rows are only ever added, also rows that are there already."""
+    warehouse = Warehouse(spark, scratch_path(spark, "appended"))
+    rows = td.table(spark, d, "events").selectExpr(
+        "concat('e_', cast(event_id as string)) AS event_id", "concat('store_', cast(user_id % 5 as string)) AS store_id", "cast(ts as timestamp) AS changed_at", "event_type")
+    warehouse.append("alert_events", rows)
+    warehouse.append("alert_events", rows.where("event_type = 'click'"))
+    return warehouse.read("alert_events").select("event_id", "store_id")

@@ -1,16 +1,19 @@
-"""Parquet tables under one root folder: create, read, keyed upsert, replace, append, purge.
+"""Parquet tables under one root folder: read, keyed upsert, replace, append, purge, all in versions.
 
 An upsert reads and rewrites only the folders its rows fall in. Where a key's day can change, the
 folder that holds the key now is looked up by its key columns and rewritten too.
 
-A change is first written whole to a staging folder and then published over the touched
-partitions. Publishing reads only the staged copy, so it can be repeated after a lost driver.
+Files never change. A write makes new folders, ``<table>/run=<id>/<folder>``, and then commits a version
+that names them (see :mod:`shelfmark.sources.versions`); folders that lose all their rows leave the table in the same
+commit. A job lost before the commit has changed nothing, also where it writes several tables in one
+:meth:`Warehouse.transaction`. Readers go on with the version they started from.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,6 +21,7 @@ from pyspark.sql import types as T
 
 from shelfmark.schemas import TABLES
 from shelfmark.session import settle
+from shelfmark.sources.versions import Change, Content, Versions, commit
 
 
 @dataclass(frozen=True)
@@ -113,10 +117,68 @@ class DuplicateKeys(ValueError):
 
 
 class Warehouse:
-    """The tables under ``root``, a folder every executor can reach."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """The tables under ``root``, a folder every executor can reach. With ``version`` the tables as that
+    version has them, to read only."""
+
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
+        self.spark, self.root, self.pinned = spark, root.rstrip("/"), version
+        self.versions = Versions(spark, self.root)
+        self._open: Change | None = None
+
+    # --- versions
+
+    def at(self, version: int | None = None) -> Warehouse:
+        """A reader that stays with one version, by default the newest, whatever is written meanwhile."""
+        return Warehouse(self.spark, self.root, self.versions.latest() if version is None else version)
+
+    def _base(self) -> int:
+        if self.pinned is not None:
+            return self.pinned
+        return self._open.base if self._open else self.versions.latest()
+
+    def _content(self) -> Content:
+        """What the tables are made of, as this reader or this open transaction sees it."""
+        stored = self.versions.content(self._base())
+        return self._open.on(stored) if self._open else stored
+
+    @contextlib.contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All writes inside become visible together at the end, or none does. Reads inside see them before.
+        A transaction within another is part of it."""
+        if self._open:
+            yield
+            return
+        self._open = Change(self.versions.latest())
+        try:
+            yield
+            change, self._open = self._open, None
+            if change.folders or change.added:
+                commit(self.versions, change)
+        finally:
+            self._open = None
+
+    def _submit(self, change: Change) -> None:
+        if self.pinned is not None:
+            raise ValueError("a reader of one version cannot write")
+        if self._open:
+            self._open.join(change)
+        else:
+            commit(self.versions, change)
+
+    def expire(self, keep: int = 2) -> int:
+        """Remove all versions but the newest ``keep``, and the folders that only those named. Returns the number of
+        folders removed. Readers of a removed version fail; folders of jobs still under way are not touched."""
+        found = self.versions.all()
+        old, kept = found[:-keep], found[-keep:]
+        named = lambda some: {(t, r, f) for v in some for t, folders in self.versions.content(v).items() for f, runs in folders.items() for r in runs}
+        gone = named(old) - named(kept)
+        # Readers find a version's file before they look for its folders, so the files go first.
+        for version in old:
+            self.versions.forget(version)
+        for table, run, folder in sorted(gone):
+            fs, path = self._filesystem(self._folder(table, run, folder))
+            fs.delete(path, True)
+        return len(gone)
 
     # --- folders
 
@@ -128,16 +190,30 @@ class Warehouse:
         hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
+    def _folder(self, name: str, run: str, value: str) -> str:
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+        return f"{self.path(name)}/run={run}/{LAYOUTS[name].partition_column}={escaped}"
+
+    def _written_folders(self, name: str, run: str) -> list[str]:
+        """The folder values that a run wrote files for."""
+        fs, path = self._filesystem(f"{self.path(name)}/run={run}")
+        if not fs.exists(path):
+            return []
+        start = f"{LAYOUTS[name].partition_column}="
+        unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+        return sorted(unescape(n[len(start):]) for n in found if n.startswith(start))
+
     def exists(self, name: str) -> bool:
-        fs, path = self._filesystem(self.path(name))
-        return fs.exists(path)
+        """Whether the table has any files."""
+        return bool(self._content().get(name))
 
     def is_complete(self, path: str) -> bool:
         """Whether a job has finished writing ``path``."""
         fs, marker = self._filesystem(f"{path}/_SUCCESS")
         return fs.exists(marker)
 
-    # --- reading and creating
+    # --- reading
 
     def schema(self, name: str) -> T.StructType:
         return T.StructType.fromDDL(TABLES[name])
@@ -145,19 +221,20 @@ class Warehouse:
     def _stored_schema(self, name: str) -> T.StructType:
         return self.schema(name).add(LAYOUTS[name].partition_column, T.StringType())
 
-    def create(self, name: str) -> None:
-        """An empty table of the declared schema, if there is none."""
-        fs, path = self._filesystem(self.path(name))
-        if not fs.exists(path):
-            fs.mkdirs(path)
-
-    def _read_stored(self, name: str) -> DataFrame:
-        self.create(name)
-        return self.spark.read.schema(self._stored_schema(name)).parquet(self.path(name))
+    def _read_stored(self, name: str, folders: Sequence[str] | None = None) -> DataFrame:
+        """All rows, or those of the named folders: only these are listed."""
+        held = self._content().get(name, {})
+        wanted = held if folders is None else {f: held[f] for f in folders if f in held}
+        paths = [self._folder(name, run, value) for value, runs in sorted(wanted.items()) for run in runs]
+        schema = self._stored_schema(name)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*paths)
+        return rows.select(*schema.fieldNames())
 
     def read(self, name: str, *, store_id: str | None = None, folders: Sequence[str] | None = None) -> DataFrame:
         """All rows, or one store's, or those of the named folders (see :meth:`folders_of`)."""
-        stored = self._read_stored(name)
+        stored = self._read_stored(name, folders)
         if folders is not None:
             stored = self._only(name, stored, folders)
         if store_id is not None:
@@ -185,8 +262,8 @@ class Warehouse:
         ]
         return rows.select(*columns).select("*", LAYOUTS[name].partition_value())
 
-    def _put(self, name: str, rows: DataFrame, mode: str) -> None:
-        """Write rows into the table's folders; "overwrite" replaces only the folders that get rows."""
+    def _write(self, name: str, rows: DataFrame, run: str) -> list[str]:
+        """Write rows as the folders of a new run; returns the folders that got any. A run written again replaces itself."""
         layout = LAYOUTS[name]
         order = ["store_id", *[k for k in layout.keys if k != "store_id"]]
         (
@@ -194,11 +271,12 @@ class Warehouse:
             # joins small ones, at run time.
             rows.hint("rebalance", F.col(layout.partition_column))
             .sortWithinPartitions(layout.partition_column, *order)
-            .write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
             .partitionBy(layout.partition_column)
-            .parquet(self.path(name))
+            .parquet(f"{self.path(name)}/run={run}")
         )
+        return self._written_folders(name, run)
 
     def _stage(self, rows: DataFrame, run_id: str, leaf: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self._staging(run_id, leaf))
@@ -211,16 +289,23 @@ class Warehouse:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Audit and event rows: only ever added."""
-        self._put(name, self._conform(name, rows), "append")
+        run, change = uuid.uuid4().hex, Change(self._base())
+        for folder in self._write(name, self._conform(name, rows), run):
+            change.add(name, folder, run)
+        self._submit(change)
 
     def upsert(self, name: str, rows: DataFrame, *, run_id: str | None = None, check_keys: bool = True,
                newest_by: str | None = None) -> Written:
         """Replace rows of equal key, add the others, remove none. Declared columns that ``rows`` does
-        not have keep their stored value. ``run_id`` names the staging folder; hand it to
-        :meth:`publish` if a failure came between staging and publishing. With ``newest_by`` a row gives
-        way to a stored one that is later in that column. A key is replaced in whichever folder it lies."""
+        not have keep their stored value. With ``newest_by`` a row gives way to a stored one that is later
+        in that column. A key is replaced in whichever folder it lies, and leaves that folder in the same commit.
+
+        ``run_id`` names the run: after a failure the upsert can simply be repeated, or, if it had come as
+        far as committing, be finished by :meth:`publish`.
+        """
         layout = LAYOUTS[name]
         run_id = run_id or uuid.uuid4().hex
+        change = Change(self._base())
         given = [f.name for f in self.schema(name).fields if f.name in rows.columns]
         # The source plan runs once; the key check, the touched folders and the merge read its result.
         self._stage(self._conform(name, rows), run_id, f"{name}_given")
@@ -230,12 +315,11 @@ class Warehouse:
             if not twice.isEmpty():
                 raise DuplicateKeys(f"{name}: a key occurs more than once in the rows to upsert")
         folders, column = set(self.folders_of(name, source)), layout.partition_column
-        moved: set[str] = set()
         if layout.may_move:
             # Reads the key columns only; as many values as the table has days at most.
             homes = self._read_stored(name).join(source.select(*layout.keys), list(layout.keys), "left_semi").select(column).distinct()
-            moved = {r[0] for r in homes.collect()} - folders
-        touched = self._only(name, self._read_stored(name), sorted(folders | moved))
+            folders |= {r[0] for r in homes.collect()}
+        touched = self._read_stored(name, sorted(folders))
         if newest_by is not None:
             stored = touched.select(*layout.keys, F.col(newest_by).alias("_stored_at"))
             given_later = source.join(stored, list(layout.keys), "left").where(
@@ -244,61 +328,75 @@ class Warehouse:
         missing = [f.name for f in self.schema(name).fields if f.name not in given]
         columns = self._stored_schema(name).fieldNames()
         merged = merge_rows(touched.select(*columns), source, layout.keys, keep_stored=missing)
-        self._stage(merged, run_id, name)
+        run = f"{run_id}-{uuid.uuid4().hex[:8]}"  # files of a committed run stay as they are if the upsert is repeated
+        filled = set(self._write(name, merged, run)) if folders else set()
+        change.read.add(name)
+        for folder in folders:
+            change.replace(name, folder, [run] if folder in filled else [])
+        fs, path = self._filesystem(f"{self._staging(run_id, name)}.change")
+        out = fs.create(path, True)
+        out.write(bytearray(change.as_json().encode()))
+        out.close()
         self.publish(name, run_id)
-        if moved:
-            filled = {r[0] for r in self._staged(name, run_id, name).select(column).distinct().collect()}
-            for value in sorted(moved - filled):
-                self._drop_folder(name, value)
         # Counted from the store column of the files just written, not by running the source again.
         counts = settle(self._staged(name, run_id, f"{name}_given").groupBy("store_id").agg(F.count(F.lit(1)).alias("rows")), "counts")
         self.clear_staging(run_id, name)
         return Written(counts)
 
     def clear_staging(self, run_id: str, name: str) -> None:
-        for leaf in (name, f"{name}_given"):
+        for leaf in (f"{name}.change", f"{name}_given"):
             fs, path = self._filesystem(self._staging(run_id, leaf))
             fs.delete(path, True)
 
     def publish(self, name: str, run_id: str) -> None:
-        """Put the staged folders in place of the table's. Reads only staged data, so it can be repeated."""
-        self._put(name, self._staged(name, run_id, name), "overwrite")
-
-    def _drop_folder(self, name: str, value: str) -> None:
-        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
-        fs, path = self._filesystem(f"{self.path(name)}/{LAYOUTS[name].partition_column}={escaped}")
-        fs.delete(path, True)
+        """Commit what an upsert of this run has written. Repeating it changes nothing."""
+        fs, path = self._filesystem(f"{self._staging(run_id, name)}.change")
+        stream = fs.open(path)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        change = Change.from_json(text)
+        # A run is named by the versions from its commit until its folders are replaced.
+        done = {(t, r) for v in self.versions.all() if v > change.base for t, f in self.versions.content(v).items() for runs in f.values() for r in runs}
+        if change.folders and not (change.runs() and change.runs() <= done):
+            self._submit(change)
 
     def replace_stores(self, name: str, rows: DataFrame) -> None:
         """Every store that has rows here gets exactly these rows."""
         if LAYOUTS[name].partition_column != "p_store":
             raise ValueError(f"{name} is not laid out by store")
-        self._put(name, self._conform(name, rows), "overwrite")
+        run, change = uuid.uuid4().hex, Change(self._base())
+        for folder in self._write(name, self._conform(name, rows), run):
+            change.replace(name, folder, [run])
+        self._submit(change)
 
     def purge_store(self, store_id: str, names: Sequence[str] | None = None) -> list[str]:
-        """Remove a store's rows from the given tables, or from all. Returns the tables that had any.
+        """Remove a store's rows from the given tables, or from all, in one commit. Returns the tables that had any.
 
-        Only folders that hold rows of the store are rewritten; those with no other rows go.
+        Only folders that hold rows of the store are rewritten; those with no other rows go. The files stay
+        on disk until the versions that name them expire.
         """
         gone = []
-        for name in names or LAYOUTS:
-            if not self.exists(name):
-                continue
-            folder = LAYOUTS[name].partition_column
-            mine = F.coalesce(F.col("store_id") == store_id, F.lit(False))
-            stored = self._read_stored(name)
-            # One row per folder, a number the layout bounds.
-            held = stored.groupBy(folder).agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("others"))
-            found = held.where("mine > 0").select(folder, "others").collect()
-            shared, emptied = [r[0] for r in found if r[1]], [r[0] for r in found if not r[1]]
-            run_id = uuid.uuid4().hex
-            columns = self._stored_schema(name).fieldNames()
-            if shared:
-                self._stage(self._only(name, stored, shared).where(~mine).select(*columns), run_id, name)
-                self.publish(name, run_id)
-            for value in emptied:
-                self._drop_folder(name, value)
-            self.clear_staging(run_id, name)
-            if found:
+        with self.transaction():
+            for name in names or LAYOUTS:
+                if not self.exists(name):
+                    continue
+                folder = LAYOUTS[name].partition_column
+                mine = F.coalesce(F.col("store_id") == store_id, F.lit(False))
+                stored = self._read_stored(name)
+                # One row per folder, a number the layout bounds.
+                held = stored.groupBy(folder).agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("others"))
+                found = held.where("mine > 0").select(folder, "others").collect()
+                if not found:
+                    continue
+                run, change = uuid.uuid4().hex, Change(self._base())
+                shared = [r[0] for r in found if r[1]]
+                if shared:
+                    self._write(name, self._read_stored(name, shared).where(~mine), run)
+                change.read.add(name)
+                for value, others in found:
+                    change.replace(name, value, [run] if others else [])
+                self._submit(change)
                 gone.append(name)
         return gone

@@ -68,9 +68,10 @@ def keep_stock(adjustments: DataFrame, warehouse: Warehouse, *, checkpoint: str,
             result = apply_adjustments(warehouse.read("products"), fresh)
             result.products.write.mode("overwrite").parquet(f"{folder}/products")
             result.decisions.write.mode("overwrite").parquet(f"{folder}/decisions")
-        warehouse.upsert("products", spark.read.parquet(f"{folder}/products"), run_id=f"stock-{batch_id}", check_keys=False)
-        accepted = spark.read.parquet(f"{folder}/decisions").where("accepted").select(*batch.columns)
-        warehouse.upsert("stock_adjustments", accepted, run_id=f"audit-{batch_id}", check_keys=False)
+        with warehouse.transaction():
+            warehouse.upsert("products", spark.read.parquet(f"{folder}/products"), run_id=f"stock-{batch_id}", check_keys=False)
+            accepted = spark.read.parquet(f"{folder}/decisions").where("accepted").select(*batch.columns)
+            warehouse.upsert("stock_adjustments", accepted, run_id=f"audit-{batch_id}", check_keys=False)
 
     return adjustments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
