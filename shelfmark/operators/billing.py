@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.coerce import money
 from shelfmark.functions.fingerprint import request_hash
 from shelfmark.functions.validate import VIOLATIONS, sale_rules, split_valid
+from shelfmark.operators.components import connected
 from shelfmark.operators.customers import customer_rollup
-from shelfmark.operators.running import CHUNK, in_order_chunks, running_total
+from shelfmark.operators.running import in_order_chunks, running_total
 from shelfmark.session import settle
 
 PRODUCT = ["store_id", "product_id"]
@@ -36,7 +41,28 @@ def _request_id() -> Column:
     return F.sha2(F.concat_ws("|", "store_id", F.col("seq").cast("string"), "idempotency_key"), 256)
 
 
-def allocate(lines: DataFrame, stock: DataFrame, *, chunks: int | None = None) -> DataFrame:
+FOLDED = "part bigint, request_id string, accepted boolean"
+
+
+def _serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Serve requests in order, each with all its goods or none. Rows come sorted by part and order; what is left of
+    the goods, and the keys used, are carried over batch borders and forgotten with the part."""
+    part, left, used = None, {}, set()
+    for rows in batches:
+        accepted = []
+        for now, key, goods in zip(rows["part"].tolist(), rows["idempotency_key"].tolist(), rows["goods"].tolist()):
+            if now != part:
+                part, left, used = now, {}, set()
+            fits = key not in used and all(left.setdefault(g["product_id"], g["_left"]) >= g["quantity"] for g in goods)
+            if fits:
+                used.add(key)
+                for g in goods:
+                    left[g["product_id"]] -= g["quantity"]
+            accepted.append(fits)
+        yield rows[["part", "request_id"]].assign(accepted=accepted)
+
+
+def allocate(lines: DataFrame, stock: DataFrame, *, chunks: int | None = None, requests_per_turn: int = 200_000) -> DataFrame:
     """The ids of the requests that get their goods.
 
     ``lines``: request_id, store_id, idempotency_key, requested_at, seq, product_id, quantity, one
@@ -44,55 +70,68 @@ def allocate(lines: DataFrame, stock: DataFrame, *, chunks: int | None = None) -
     (requested_at, seq) of its store a request is accepted if every product it asks for still has
     enough; it takes all or nothing, and only the first accepted request of an idempotency key counts.
 
-    Rounds over the undecided requests, exact at every step:
+    Exact at every step:
 
     * a request that asks for more than is left of a product can never be accepted: it drops out;
     * a request whose products last even if every earlier undecided request takes its share, and
       that has no earlier undecided request with its key, is accepted whatever those turn out to be;
-    * later requests with the key of an accepted one drop out, and what was accepted leaves the stock.
+    * what is still open contends for a few products and keys. Requests that share one of these, directly or through
+      others, form a part; parts do not touch each other. A task serves whole parts in order. Of a part that
+      is too large for one task the first ``requests_per_turn`` or so are served, and the steps begin again.
 
-    The earliest undecided request of every store is decided in each round, and usually almost all
-    are, so the loop ends; the undecided rows shrink from round to round. Running demand per
+    Usually one turn is enough, however long the chains of requests that wait for each other. Running demand per
     product is summed by chunks, so a product that most requests ask for is no single task's work.
     """
     def hopeless(rows: DataFrame, left: DataFrame) -> DataFrame:
         return rows.join(left, PRODUCT).where(F.col("quantity") > F.col("_left")).select("request_id").distinct()
 
+    def after(left: DataFrame, served: DataFrame) -> DataFrame:
+        taken = served.groupBy(*PRODUCT).agg(F.sum("quantity").alias("_taken"))
+        return settle(left.join(taken, PRODUCT, "left").select(
+            *PRODUCT, (F.col("_left") - F.coalesce("_taken", F.lit(0).cast("bigint"))).alias("_left")), "stock")
+
     left = settle(stock.select(*PRODUCT, F.coalesce("quantity_on_hand", F.lit(0).cast("bigint")).alias("_left")), "stock")
     # Chunk numbers must be the same for every reader, so they are written before the first use.
-    pending = settle(in_order_chunks(lines, PRODUCT, ORDER, chunks), "lines")
-    feasible = settle(pending.join(hopeless(pending, left), "request_id", "left_anti"), "lines")
-    accepted = None
-    while not feasible.isEmpty():
+    opened = settle(in_order_chunks(lines, PRODUCT, ORDER, chunks), "lines")
+    accepted = []
+    while True:
+        feasible = settle(opened.join(hopeless(opened, left), "request_id", "left_anti"), "lines")
         demand = running_total(feasible, PRODUCT, ORDER, "quantity", "_upto").join(left, PRODUCT)
-        by_request = demand.groupBy("request_id", *KEY, *ORDER).agg(
-            F.bool_and(F.col("_upto") <= F.col("_left")).alias("_fits")
-        )
+        by_request = demand.groupBy("request_id", *KEY, *ORDER).agg(F.bool_and(F.col("_upto") <= F.col("_left")).alias("_fits"))
         first_of_key = feasible.groupBy(*KEY).agg(F.min(F.struct(*ORDER)).alias("_first"))
-        sure = settle(
-            by_request.where("_fits").join(first_of_key, KEY).where(F.struct(*ORDER) == F.col("_first"))
-            .select("request_id", *KEY),
-            "accepted",
-        )
-        accepted = sure if accepted is None else accepted.unionByName(sure)
-        taken = (
-            feasible.join(sure.select("request_id"), "request_id", "left_semi")
-            .groupBy(*PRODUCT).agg(F.sum("quantity").alias("_taken"))
-        )
-        left = settle(
-            left.join(taken, PRODUCT, "left").select(
-                *PRODUCT, (F.col("_left") - F.coalesce("_taken", F.lit(0).cast("bigint"))).alias("_left")
-            ),
-            "stock",
-        )
-        # The accepted request itself has its own key, so it leaves with the rest of its key.
-        feasible = settle(
-            feasible.join(sure.select(*KEY), KEY, "left_anti").join(hopeless(feasible, left), "request_id", "left_anti"),
-            "lines",
-        )
-    if accepted is None:
-        return lines.select("request_id").where(F.lit(False))
-    return accepted.select("request_id")
+        sure = settle(by_request.where("_fits").join(first_of_key, KEY).where(F.struct(*ORDER) == F.col("_first")).select("request_id", *KEY), "accepted")
+        accepted.append(sure.select("request_id"))
+        left = after(left, feasible.join(sure.select("request_id"), "request_id", "left_semi"))
+        # An accepted request has its own key, so it leaves with the rest of its key.
+        undecided = feasible.join(sure.select(*KEY), KEY, "left_anti")
+        opened = settle(undecided.join(hopeless(undecided, left), "request_id", "left_anti"), "lines")
+        if opened.isEmpty():
+            break
+
+        # Products that last for all open requests tie nobody to anybody, nor do keys of a single request.
+        short = opened.groupBy(*PRODUCT).agg(F.sum("quantity").alias("_asked")).join(left, PRODUCT).where("_asked > _left").select(*PRODUCT, "_left")
+        goods = F.collect_list(F.when(F.col("_left").isNotNull(), F.struct("product_id", "quantity", "_left")))
+        waiting = settle(opened.join(short, PRODUCT, "left").groupBy("request_id", *KEY, *ORDER).agg(goods.alias("goods")), "waiting")
+        # A 64-bit hash stands for a request or a thing. Two that share one would only join two parts.
+        thing = F.explode(F.concat(
+            F.transform("goods", lambda g: F.xxhash64(F.lit("product"), "store_id", g["product_id"])), F.array(F.xxhash64(F.lit("key"), *KEY))))
+        parts = connected(waiting.select(F.xxhash64("request_id").alias("u"), thing.alias("v")))
+        in_parts = waiting.join(parts.withColumnRenamed("node", "_node"), F.xxhash64("request_id") == F.col("_node")).drop("_node")
+        turns = max(1, math.ceil(waiting.count() / requests_per_turn))
+        dealt = settle(in_parts.repartitionByRange(turns, "part", *ORDER).withColumn("_turn", F.spark_partition_id()), "waiting")
+        now = dealt.groupBy("part").agg(F.min("_turn").alias("_turn"))
+        in_turn = dealt.join(now, ["part", "_turn"]).select("part", "request_id", "idempotency_key", "goods", *ORDER)
+        ordered = in_turn.repartition("part").sortWithinPartitions("part", *ORDER)
+        served = settle(ordered.mapInPandas(_serve, FOLDED), "served")
+        yes = served.where("accepted").select("request_id")
+        accepted.append(yes)
+        later = dealt.join(now, ["part", "_turn"], "left_anti")
+        if later.isEmpty():
+            break
+        left = after(left, opened.join(yes, "request_id", "left_semi"))
+        taken_keys = waiting.join(yes, "request_id", "left_semi").select(*KEY)
+        opened = settle(opened.join(later.select("request_id"), "request_id", "left_semi").join(taken_keys, KEY, "left_anti"), "lines")
+    return reduce(DataFrame.unionByName, accepted)
 
 
 def bill(requests: DataFrame, products: DataFrame, customers: DataFrame, idempotency: DataFrame, *,

@@ -1,9 +1,9 @@
 """Ordered work on keys that may hold a large part of all rows.
 
-If some key has very many rows, rows are range-partitioned by key and order, so that such a key
-spans several partitions and small ones share one. The partition number is kept as ``_chunk``: it
-grows with the order within every key, and a (key, chunk) group is never larger than a partition.
-Sums over a whole key are then chunk sums, chained over the few chunks of the key.
+Rows are range-partitioned by key and order, so that a large key spans several partitions and small
+ones share one. The partition number is kept as ``_chunk``: it grows with the order within every key,
+and a (key, chunk) group is never larger than a partition. Sums over a whole key are then chunk sums,
+chained over the few chunks of the key.
 """
 
 from __future__ import annotations
@@ -17,19 +17,9 @@ from shelfmark.session import settle
 CHUNK = "_chunk"
 
 
-def in_order_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None,
-                    rows_per_chunk: int = 1_000_000) -> DataFrame:
-    """``df`` with its ``_chunk``. Settle the result (or what is built from it) before using it
-    twice: chunk borders come from a sample.
-
-    The keys are counted first. If none has more than ``rows_per_chunk`` rows, every key is one chunk
-    and the range partitioning, a shuffle of all rows, is saved. ``chunks`` asks for that many
-    partitions whatever the counts.
-    """
-    if chunks is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-        if largest is None or largest <= rows_per_chunk:
-            return df.withColumn(CHUNK, F.lit(0))
+def in_order_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """``df`` with its ``_chunk``, in as many partitions as ``chunks`` says or the session shuffles into. Settle the
+    result (or what is built from it) before using it twice: chunk borders come from a sample."""
     count = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(count, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
 

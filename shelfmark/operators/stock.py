@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.coerce import money
 from shelfmark.functions.timing import expiry_status, instant
@@ -71,99 +69,101 @@ class StockResult(NamedTuple):
     products: DataFrame
 
 
-FOLDED = f"store_id string, product_id string, {CHUNK} int, _pos int, _delta bigint, quantity_before bigint, accepted boolean"
+BLOCK = 128  # rows that are looked at together
+_LONG = "bigint"
 
 
-def _fold_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply adjustments in order, skipping those that do not fit. Rows come sorted by product,
-    chunk and position; the stock is carried over batch borders, so memory holds one batch."""
-    current, on_hand = None, 0
-    for rows in batches:
-        before, accepted = [], []
-        for store, product, chunk, start, delta in zip(
-            rows["store_id"], rows["product_id"], rows[CHUNK].tolist(), rows["_before"].tolist(), rows["_delta"].tolist()
-        ):
-            if (store, product, chunk) != current:
-                current, on_hand = (store, product, chunk), start
-            fits = on_hand + delta >= 0
-            before.append(on_hand)
-            accepted.append(fits)
-            if fits:
-                on_hand += delta
-        yield rows[["store_id", "product_id", CHUNK, "_pos", "_delta"]].assign(quantity_before=before, accepted=accepted)
+def _after(stock: Column, delta: Column) -> Column:
+    """The stock after an adjustment, which does nothing if it does not fit."""
+    return F.when(stock + delta >= 0, stock + delta).otherwise(stock)
+
+
+def _sum_and_low(parts: Column, total, low) -> Column:
+    """(total, low) of ordered parts in a row: their sum, and the least that is reached on the way."""
+    none = F.struct(F.lit(0).cast(_LONG).alias("total"), F.lit(None).cast(_LONG).alias("low"))
+    return F.aggregate(parts, none, lambda run, part: F.struct(
+        (run["total"] + total(part)).alias("total"), F.least(run["low"], run["total"] + low(part)).alias("low")))
+
+
+def _starts(parts: Column, start: Column, end) -> Column:
+    """(stock, starts): the stock behind ordered parts, and that before each of them; ``end`` leads over a part."""
+    none = F.struct(start.alias("stock"), F.array().cast("array<bigint>").alias("starts"))
+    return F.aggregate(parts, none, lambda run, part: F.struct(
+        end(run["stock"], part).alias("stock"), F.concat(run["starts"], F.array(run["stock"])).alias("starts")))
+
+
+def _one_by_one(rows: Column, start: Column) -> Column:
+    """For each row of a block the stock before it and whether it fits."""
+    none = F.struct(start.alias("stock"), F.array().cast("array<struct<before:bigint,fits:boolean>>").alias("seen"))
+    step = lambda run, row: F.struct(
+        _after(run["stock"], row["delta"]).alias("stock"),
+        F.concat(run["seen"], F.array(F.struct(run["stock"].alias("before"), (run["stock"] + row["delta"] >= 0).alias("fits")))).alias("seen"))
+    return F.aggregate(rows, none, step, lambda run: run["seen"])
 
 
 def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: int | None = None) -> StockResult:
     """Adjustments in the order (created_at, adjustment_id); one that would make the stock negative is
     rejected and the next ones go on from the unchanged stock.
 
-    A chunk whose lowest running sum stays at or above zero is accepted as a whole, from sums alone.
-    Only a product's first chunk that runs short is folded row by row, which settles the stock the
-    next chunks start from; this repeats while any chunk runs short. A round folds one chunk of
-    every such product in parallel, and a fold never sees more than one chunk.
+    Rows lie in blocks, blocks in chunks, each with its sum and the lowest sum on the way. A block or chunk
+    that stays at or above zero from its start is accepted whole, from these two numbers alone. Only a product's
+    first chunk that runs short is folded, which settles the stock that the next chunks start from; within it only
+    the blocks that run short are visited row by row. This repeats while any chunk runs short: a round folds one
+    chunk of every such product in parallel. All of it is column expressions.
     """
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast(_LONG)
     opening = products.select(*KEYS, F.coalesce("quantity_on_hand", zero).alias("_opening"))
     valid, invalid = split_valid(adjustments, adjustment_rules())
     unknown = valid.join(opening, KEYS, "left_anti")
     sign = F.when(F.col("adjustment_type").isin(*SUBTRACTING_TYPES), F.lit(-1)).otherwise(F.lit(1))
-    lines = valid.join(opening.select(*KEYS), KEYS, "left_semi").withColumn("_delta", sign * F.col("quantity_delta"))
-
     order = ["created_at", "adjustment_id"]
-    in_chunk = Window.partitionBy(*KEYS, CHUNK).orderBy(*order)
-    upto = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = settle(
-        in_order_chunks(lines, KEYS, order, chunks)
-        .withColumn("_pos", F.row_number().over(in_chunk))
-        .withColumn("_run", F.sum("_delta").over(upto)),
-        "adjustments",
-    )
+    lines = valid.join(opening.select(*KEYS), KEYS, "left_semi").select(
+        *KEYS, *order, (sign * F.col("quantity_delta")).cast(_LONG).alias("delta"), F.struct(*adjustments.columns).alias("row"))
+
+    # The number that Spark gives a row of a sorted partition grows by one a row; its upper bits are the partition's.
+    placed = in_order_chunks(lines, KEYS, order, chunks).sortWithinPartitions(*KEYS, *order).withColumn("place", F.monotonically_increasing_id())
+    packed = placed.groupBy(*KEYS, CHUNK, F.expr(f"place div {BLOCK}").alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "delta", "row"))).alias("rows"), F.max("created_at").alias("last"))
+    delta = lambda row: row["delta"]
+    blocks = settle(packed.withColumn("sums", _sum_and_low(F.col("rows"), delta, delta)), "blocks")
+    own = lambda name: lambda part: part[name]
+    per_chunk = blocks.groupBy(*KEYS, CHUNK).agg(F.sort_array(F.collect_list(F.struct("block", "sums.total", "sums.low"))).alias("parts"), F.max("last").alias("_last"))
     summary = settle(
-        local.groupBy(*KEYS, CHUNK)
-        .agg(F.sum("_delta").alias("_total"), F.min("_run").alias("_low"), F.max("created_at").alias("_last"))
-        .join(opening, KEYS).withColumn("_folded", F.lit(False)),
+        per_chunk.withColumn("sums", _sum_and_low(F.col("parts"), own("total"), own("low"))).join(opening, KEYS).select(
+            *KEYS, CHUNK, "parts", F.col("sums.total").alias("_total"), F.col("sums.low").alias("_low"), "_last", "_opening",
+            F.lit(None).cast("array<bigint>").alias("_starts")),
         "chunk-sums",
     )
-    folded = None
     while True:
-        chain = chained_before(summary, KEYS, "_total", "_earlier").withColumn(
-            "_before", F.col("_opening") + F.col("_earlier")
-        )
-        short = chain.where(~F.col("_folded") & (F.col("_before") + F.col("_low") < 0))
+        chain = chained_before(summary.drop("parts"), KEYS, "_total", "_earlier").withColumn("_before", F.col("_opening") + F.col("_earlier"))
+        short = chain.where(F.col("_starts").isNull() & (F.col("_before") + F.col("_low") < 0))
         first = short.groupBy(*KEYS).agg(F.min_by(F.struct(CHUNK, "_before"), CHUNK).alias("f")).select(*KEYS, "f.*")
-        to_fold = local.select(*KEYS, CHUNK, "_pos", "_delta").join(first, [*KEYS, CHUNK])
-        in_turn = to_fold.repartition(*KEYS, CHUNK).sortWithinPartitions(*KEYS, CHUNK, "_pos")
-        done = settle(in_turn.mapInPandas(_fold_rows, FOLDED), "folded")
+        deltas = F.transform("rows", delta)
+        to_fold = blocks.join(first, [*KEYS, CHUNK]).groupBy(*KEYS, CHUNK, "_before").agg(
+            F.sort_array(F.collect_list(F.struct("block", "sums.total", "sums.low", deltas.alias("deltas")))).alias("parts"))
+        over = lambda stock, part: F.when(stock + part["low"] >= 0, stock + part["total"]).otherwise(
+            F.aggregate(part["deltas"], stock, _after))
+        done = settle(to_fold.withColumn("end", _starts(F.col("parts"), F.col("_before"), over)).select(
+            *KEYS, CHUNK, (F.col("end.stock") - F.col("_before")).alias("_fixed"), F.col("end.starts").alias("_folded")), "folded")
         if done.isEmpty():
             break
-        folded = done if folded is None else folded.unionByName(done)
-        fixed = done.groupBy(*KEYS, CHUNK).agg(
-            F.sum(F.when(F.col("accepted"), F.col("_delta")).otherwise(zero)).alias("_fixed")
-        )
         summary = settle(
-            summary.join(fixed, [*KEYS, CHUNK], "left").select(
-                *KEYS, CHUNK, F.coalesce("_fixed", "_total").alias("_total"), "_low", "_last", "_opening",
-                (F.col("_folded") | F.col("_fixed").isNotNull()).alias("_folded"),
-            ),
+            summary.join(done, [*KEYS, CHUNK], "left").select(
+                *KEYS, CHUNK, "parts", F.coalesce("_fixed", "_total").alias("_total"), "_low", "_last", "_opening",
+                F.coalesce("_folded", "_starts").alias("_starts")),
             "chunk-sums",
         )
 
-    starts = chain.select(*KEYS, CHUNK, "_before", "_folded")
-    rows = local.join(starts, [*KEYS, CHUNK])
-    none = F.lit(None).cast("string")
-    whole = rows.where(~F.col("_folded")).select(
-        *adjustments.columns, F.lit(True).alias("accepted"), none.alias("refusal"),
-        (F.col("_before") + F.col("_run") - F.col("_delta")).alias("quantity_before"),
-        (F.col("_before") + F.col("_run")).alias("quantity_after"),
-    )
-    decisions = whole
-    if folded is not None:
-        one_by_one = local.join(folded.drop("_delta"), [*KEYS, CHUNK, "_pos"]).select(
-            *adjustments.columns, "accepted",
-            F.when(~F.col("accepted"), F.lit("NEGATIVE_STOCK")).alias("refusal"), "quantity_before",
-            (F.col("quantity_before") + F.when(F.col("accepted"), F.col("_delta")).otherwise(zero)).alias("quantity_after"),
-        )
-        decisions = decisions.unionByName(one_by_one)
+    known = summary.join(chain.select(*KEYS, CHUNK, "_before"), [*KEYS, CHUNK])
+    straight = _starts(F.col("parts"), F.col("_before"), lambda stock, part: stock + part["total"])["starts"]
+    starts = known.withColumn("_starts", F.coalesce("_starts", straight)).select(
+        *KEYS, CHUNK, F.explode(F.arrays_zip(F.col("parts.block").alias("block"), F.col("_starts").alias("start"))).alias("s")).select(
+        *KEYS, CHUNK, "s.block", "s.start")
+    judged = blocks.join(starts, [*KEYS, CHUNK, "block"]).select(F.explode(
+        F.zip_with("rows", _one_by_one(F.col("rows"), F.col("start")), lambda row, seen: F.struct(row["row"].alias("row"), row["delta"].alias("delta"), seen.alias("seen")))).alias("x"))
+    decisions = judged.select(
+        "x.row.*", F.col("x.seen.fits").alias("accepted"), F.when(~F.col("x.seen.fits"), F.lit("NEGATIVE_STOCK")).alias("refusal"),
+        F.col("x.seen.before").alias("quantity_before"), _after(F.col("x.seen.before"), F.col("x.delta")).alias("quantity_after"))
     refused = lambda df, why: df.select(
         *adjustments.columns, F.lit(False).alias("accepted"), why.alias("refusal"),
         zero.alias("quantity_before"), zero.alias("quantity_after"),

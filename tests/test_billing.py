@@ -116,3 +116,52 @@ def test_refused_request_leaves_its_key_free(spark):
     requests = [("s", "k", None, "cash", T0, 1, [("a", 9)]), ("s", "k", None, "cash", T0 + dt.timedelta(minutes=1), 2, [("a", 4)])]
     result = bill(spark, requests, [("s", "a", "A", Decimal("1"), 5)])
     assert {r.seq: r.outcome for r in result.decisions.collect()} == {1: "REJECTED", 2: "ACCEPTED"}
+
+
+def chain_of(n, stock=1):
+    """Request i asks for the goods i and i + 1, of which there is one each: every second request is served, and
+    whether one is hangs on all before it."""
+    products = [("s", f"p{i}", f"P{i}", Decimal("1"), stock) for i in range(n + 1)]
+    requests = [("s", f"k{i}", None, "cash", T0 + dt.timedelta(seconds=i), i, [(f"p{i}", 1), (f"p{i + 1}", 1)]) for i in range(n)]
+    return requests, products
+
+
+def test_chain_of_2000_in_a_handful_of_rounds(spark, monkeypatch):
+    requests, products = chain_of(2000)
+    labels, real = [], billing.settle
+    monkeypatch.setattr(billing, "settle", lambda df, label: labels.append(label) or real(df, label))
+    result = bill(spark, requests, products)
+    got = {r.seq: r.outcome for r in result.decisions.collect()}
+    assert got == {i: "REJECTED" if i % 2 else "ACCEPTED" for i in range(2000)}
+    assert labels.count("served") == 1
+
+
+@pytest.mark.parametrize("seed,turn", [(4, 10), (5, 40)])
+def test_parts_larger_than_a_turn(spark, seed, turn, monkeypatch):
+    """Stock is carried from one turn of a part to the next."""
+    rng = random.Random(seed)
+    products = [(s, f"p{i}", f"P{i}", Decimal("1"), rng.randint(5, 40)) for s in ("s1", "s2") for i in range(8)]
+    requests = [(rng.choice(["s1", "s1", "s2"]), f"k{rng.randint(0, 50)}", None, rng.choice(["cash", "upi"]), T0 + dt.timedelta(minutes=rng.randint(0, 60)), n,
+                 [(f"p{rng.randint(0, 7)}", rng.randint(1, 6)) for _ in range(rng.randint(1, 3))]) for n in range(120)]
+    real = billing.allocate
+    monkeypatch.setattr(billing, "allocate", lambda *a, **k: real(*a, **k, requests_per_turn=turn))
+    result = bill(spark, requests, products)
+    want, stock = loop(requests, products, [], [])
+    assert {(r.store_id, r.seq): (r.outcome, r.reason) for r in result.decisions.collect()} == want
+    assert all(r.quantity_on_hand == stock[r.store_id, r.product_id] for r in result.products.collect())
+
+
+def test_connected_parts_over_many_tasks(spark):
+    from shelfmark.operators.components import connected
+
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(200)] + [(7, 7), (5000, -5000)]
+    root = {x: x for u, v in links for x in (u, v)}
+    for _ in links:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    want = {x: r for x, r in root.items() if any(x in link and link[0] != link[1] for link in links)}
+    frame = spark.createDataFrame(links, "u long, v long")
+    for size in (10**6, 40):
+        assert {r.node: r.part for r in connected(frame, links_per_task=size).collect()} == want
+    assert connected(frame.where("false")).count() == 0

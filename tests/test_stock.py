@@ -94,14 +94,40 @@ def test_create_and_patch(spark):
     assert out.rejected.select(F.col("violations")[0]).first()[0] == "PRODUCT_NOT_FOUND"
 
 
-def test_chunks_only_where_a_key_is_large(spark):
+def test_chunks_split_a_large_key_and_grow_with_its_order(spark):
     from shelfmark.operators.running import CHUNK, in_order_chunks
 
     rows = spark.range(60).selectExpr("'s' AS store_id", "if(id < 50, 'hot', cast(id as string)) AS product_id", "id")
-    parts = lambda **kw: {r[0] for r in in_order_chunks(rows, ["store_id", "product_id"], ["id"], **kw).where(
-        "product_id = 'hot'").select(CHUNK).distinct().collect()}
-    assert parts() == {0} and len(parts(rows_per_chunk=10)) > 1 and len(parts(chunks=6)) > 1
-    # Chunk numbers grow with the order.
-    grown = in_order_chunks(rows, ["store_id", "product_id"], ["id"], chunks=6).where("product_id = 'hot'").orderBy("id")
-    numbers = [r[CHUNK] for r in grown.collect()]
-    assert numbers == sorted(numbers)
+    numbers = [r[CHUNK] for r in in_order_chunks(rows, ["store_id", "product_id"], ["id"], chunks=6).where("product_id = 'hot'").orderBy("id").collect()]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 2
+
+
+def hot_product(rng, n, opening):
+    """A product with most adjustments, over many blocks; stock runs short again and again."""
+    rows = [(f"a{k:06d}", "s", "hot" if rng.random() < 0.9 else f"p{rng.randint(0, 5)}", rng.choice(["ADD", "REMOVE", "REMOVE"]), rng.randint(1, 30), "r", None, "u",
+             T0 + dt.timedelta(minutes=rng.randint(0, 500))) for k in range(n)]
+    return [("s", "hot", opening), *[("s", f"p{i}", 5) for i in range(6)]], rows
+
+
+@pytest.mark.parametrize("opening,chunks", [(0, 3), (20_000, 4), (10**9, 2)])
+def test_many_blocks(spark, opening, chunks):
+    products, rows = hot_product(random.Random(opening), 4000, opening)
+    got, on_hand = run(spark, products, rows, chunks=chunks)
+    want, end = loop(products, rows)
+    assert got == want and all(end[k] == v for k, v in on_hand.items())
+
+
+def test_refusals_at_the_end_take_one_round(spark, monkeypatch):
+    """Only the last chunk of a hot product runs short: it is folded, nothing else is."""
+    rows = [(f"a{k:05d}", "s", "p", "REMOVE", 1, "r", None, "u", T0 + dt.timedelta(seconds=k)) for k in range(3000)]
+    labels, real = [], stock.settle
+    monkeypatch.setattr(stock, "settle", lambda df, label: labels.append(label) or real(df, label))
+    got, on_hand = run(spark, [("s", "p", 2990)], rows, chunks=6)
+    assert sum(not v[0] for v in got.values()) == 10 and on_hand == {("s", "p"): 0}
+    assert labels.count("folded") == 2  # the second finds nothing to do
+
+
+def test_plan_has_no_python(spark):
+    result = stock.apply_adjustments(spark.createDataFrame([("s", "p", 1)], PROD), spark.createDataFrame(
+        [("a", "s", "p", "REMOVE", 2, "r", None, "u", T0)], ADJ))
+    assert "Python" not in result.decisions._jdf.queryExecution().toString() and "Pandas" not in result.decisions._jdf.queryExecution().toString()
