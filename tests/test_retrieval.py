@@ -55,14 +55,16 @@ def test_best_by_text_same_as_all_pairs(spark, seed):
 
 
 def test_substring_matches(spark):
-    texts = ["abcdefghijkl", "xabcdefgh", "short", "s", ""]
-    probes = ["abcdefghi", "abcdefgh", "hort", "s", "zzz", "", "abcdefghx"]
-    t = spark.createDataFrame([("s", x) for x in texts], "store_id string, text string")
-    p = spark.createDataFrame([("s", x) for x in probes], "store_id string, probe string")
-    want = {(a, b) for a in probes for b in texts if a and a in b}
-    for from_end in (False, True):
-        rows = substring_matches(p, t, probe="probe", text="text", from_end=from_end).collect()
-        assert {(r.probe, r.text) for r in rows} == want and len(rows) == len(want)
+    rng = random.Random(6)
+    texts = ["abcdefghijkl", "xabcdefgh", "short", "s", "", "red gear box", "covered gears", "red  gear", "a\tb c", " ", "日本 text"]
+    texts += [" ".join("".join(rng.choice("ab1") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    probes = ["abcdefghi", "abcdefgh", "hort", "s", "zzz", "", "abcdefghx", "red gear", "ed gea", "d g", "r", "b c", "本", "日本 t", " ", "gear  "]
+    probes += [" ".join("".join(rng.choice("ab1") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 2))) for _ in range(60)]
+    t = spark.createDataFrame([(s, x) for x in texts for s in ("s", "r")] + [("only", "abc")], "store_id string, text string")
+    p = spark.createDataFrame([("s", x) for x in probes] + [("r", "ab"), ("only", "bc"), ("none", "a")], "store_id string, probe string")
+    want = {("s", a, b) for a in probes for b in texts if a.strip() and a in b} | {("r", "ab", b) for b in texts if "ab" in b} | {("only", "bc", "abc")}
+    rows = substring_matches(p, t, probe="probe", text="text").collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
 
 
 @pytest.mark.parametrize("block", [3, 1000])
