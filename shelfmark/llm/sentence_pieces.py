@@ -14,7 +14,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +115,26 @@ def _surface(piece: str, kind: int) -> bytes:
     return b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
 
+class Learnt:
+    """Segments by number, and the ids of all of them in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, segments: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.starts) - 1
+        self.number.update(zip(segments, range(first, first + len(segments))))
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered segments one after another, and how many each has."""
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        behind = np.cumsum(sizes)
+        places = np.arange(behind[-1] if len(behind) else 0) + np.repeat(self.starts[numbers] - behind + sizes, sizes)
+        return self.ids[places], sizes
+
+
 class Coder:
     """Encodes and decodes in one task."""
 
@@ -129,8 +149,7 @@ class Coder:
         self.line_end = next((i for i, p in enumerate(self.model.pieces) if p[2] == BYTE and p[0] == "<0x0A>"), None)
         self.starts = np.array([p.startswith(MARK) or i == self.line_end for i, (p, _, _) in enumerate(self.model.pieces)])
         self.bytes = [_surface(p, kind) for p, _, kind in self.model.pieces]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known, self.older = Learnt(), Learnt()
         self.differ: set[str] = set()
 
     def normal(self, text: str) -> str:
@@ -160,16 +179,24 @@ class Coder:
         prefix = self.model.prefix
         clean = [p for p in new if len(p) > 1 and (p[0] == MARK or self.line_end is not None and p[0] == "\n") and MARK not in p[1:] and "\n" not in p[1:]] if prefix and self.model.splits else []
         runs = [run for low in range(0, len(clean), RUN) if (run := [MARK + "x", *clean[low : low + RUN]])]
+        found: list[str] = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         for low in range(0, len(runs), 32):
             part = runs[low : low + 32]
             made = self.splitter.encode_batch_fast(["".join(run) for run in part], add_special_tokens=False)
             want = self.reference.encode(["".join(run)[1:].replace(MARK, " ") for run in part], num_threads=2)
             for run, got, other in zip(part, made, want):
-                ids = got.ids
-                starts = np.flatnonzero(self.starts[np.array(ids)]).tolist() if ids == other else []
+                if got.ids != other:
+                    continue
+                ids = np.array(other, np.int32)
+                starts = np.flatnonzero(self.starts[ids])
                 if len(starts) == len(run):
-                    self.known.update(zip(run, [tuple(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)])]))
-        rest = [p for p in new if p not in self.known]
+                    found += run
+                    parts.append(ids)
+                    sizes.append(np.diff(np.append(starts, len(ids))))
+        done = set(found)
+        rest = [p for p in new if p not in done]
         for low in range(0, len(rest), 1024):
             part = rest[low : low + 1024]
             for p, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -178,7 +205,11 @@ class Coder:
                 if want is not None and ids != want:
                     ids = want
                     self.differ.add(p)
-                self.known[p] = ids
+                found.append(p)
+                parts.append(np.array(ids, np.int32))
+                sizes.append(np.array([len(ids)]))
+        if found:
+            self.known.add(found, np.concatenate(parts), np.concatenate(sizes))
 
     def _reference(self, segment: str) -> tuple[int, ...] | None:
         """The sentencepiece library's ids of a segment; None where it has no text that gives just that segment."""
@@ -192,18 +223,33 @@ class Coder:
         return tuple(ids[len(lead) :]) if segment[:1] == "\n" and ids[: len(lead)] == lead else None
 
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[bool]]:
+        """The ids of each text, and whether both libraries agree on it."""
+        ids, sizes, same = self.encode_flat(texts)
+        flat, ends = ids.tolist(), np.cumsum(sizes).tolist()
+        return [flat[end - size : end] for end, size in zip(ends, sizes.tolist())], same
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """All ids one after another, the number of each text's, and whether both libraries agree on it."""
         cut = [self.segments(t) if t else [] for t in texts]
-        wanted = set(chain.from_iterable(cut))
-        if len(self.known) > CACHE:  # what was used since the last time stays at hand
-            self.older, self.known = self.known, {}
-        new = [p for p in wanted if p not in self.known]
-        self.known.update((p, self.older[p]) for p in new if p in self.older)
-        self.learn([p for p in new if p not in self.known])
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, parts))) for parts in cut]
+        every = list(chain.from_iterable(cut))
+        if len(self.known.number) > CACHE:  # what was used since the last time stays at hand
+            self.older, self.known = self.known, Learnt()
+        number = self.known.number
+        found = np.fromiter(map(number.get, every, repeat(-1)), np.int64, len(every))
+        unknown = np.flatnonzero(found < 0)
+        new = list(dict.fromkeys(map(every.__getitem__, unknown.tolist())))
+        back = [p for p in new if p in self.older.number]
+        if back:
+            self.known.add(back, *self.older.take(np.fromiter(map(self.older.number.__getitem__, back), np.int64, len(back))))
+        self.learn([p for p in new if p not in self.older.number])
+        found[unknown] = np.fromiter((number[every[k]] for k in unknown.tolist()), np.int64, len(unknown))
+        ids, sizes = self.known.take(found)
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))))]
         same = [not self.differ or self.differ.isdisjoint(parts) for parts in cut]
-        for p in [p for p in wanted if len(p) > 256]:
-            del self.known[p]
-        return ids, same
+        for p in new:
+            if len(p) > 256:
+                del number[p]
+        return ids, np.diff(ends), same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         out = []
@@ -235,12 +281,12 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", deco
         for batch in batches:
             low = 0
             for run in slices(batch[text_col].to_pylist(), 1 << 20):
-                ids, same = coder.encode(run)
-                offsets = np.fromiter(accumulate(map(len, ids), initial=0), np.int32, len(ids) + 1)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.diff(offsets), pa.int64()), pa.array(same, pa.bool_())]
+                ids, sizes, same = coder.encode_flat(run)
+                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
                 if decode:
-                    made.append(pa.array(coder.decode(ids), pa.string()))
+                    flat = ids.tolist()
+                    made.append(pa.array(coder.decode([flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]), pa.string()))
                 part = batch.slice(low, len(run))
                 low += len(run)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), *made], names=[*columns, *(n for n, _ in new)])
