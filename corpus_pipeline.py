@@ -13,8 +13,16 @@ from shelfmark.llm.queries import tokenizer_path
 from shelfmark.session import settle
 
 
+def lean(spark: SparkSession) -> None:
+    """Rows go to the workers a thousand or four megabytes at a time: executors keep buffers of the largest batch they
+    have had, and five stages run in the same ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
+    lean(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
@@ -27,17 +35,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that of the smallest id."""
+    lean(spark)
     return similar.drop_similar(docs, similarity=0.8, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
+    lean(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination.find_contamination(docs, items, size=13, one_in=20).where("not contaminated").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each document, checked against the library and decoded again."""
+    lean(spark)
     made = sentence_pieces.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
     return made.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
 

@@ -3,13 +3,14 @@
 The model protobuf is read field by field; its normaliser, metaspace marker, piece scores (unigram)
 or merges (BPE) and byte fallback are rebuilt as a tokenizers model. No piece of such a model has a
 marker after another character, so a marked text falls into segments (a marker and what follows)
-that are encoded apart; a task keeps the segments it has seen and encodes new ones in
-multithreaded batches. Every new segment is also encoded by the sentencepiece library; where the two
+that are encoded apart; a task keeps the segments it has seen, at most twice CACHE of at most 256
+characters between two runs of texts, and encodes new ones in multithreaded batches. Every new segment is also encoded by the sentencepiece library; where the two
 differ the latter's ids are taken, and ``parity`` of the text is false.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -149,6 +150,10 @@ class Coder:
         self.line_end = next((i for i, p in enumerate(self.model.pieces) if p[2] == BYTE and p[0] == "<0x0A>"), None)
         self.starts = np.array([p.startswith(MARK) or i == self.line_end for i, (p, _, _) in enumerate(self.model.pieces)])
         self.bytes = [_surface(p, kind) for p, _, kind in self.model.pieces]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the segments learnt so far."""
         self.known, self.older = Learnt(), Learnt()
         self.differ: set[str] = set()
 
@@ -264,6 +269,19 @@ class Coder:
         return out
 
 
+_CODERS: dict[str, Coder] = {}
+
+
+def coder_of(data: bytes) -> Coder:
+    """The worker's coder of a model. One serves all its tasks: what the threads of a tokenizer have cached is not given
+    back with the tokenizer, so one for each task would let the worker grow by some 40 MB a task."""
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(data)
+    return _CODERS[key]
+
+
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """All columns of ``docs`` with token_ids, n_tokens, parity and, if asked for, decoded.
 
@@ -277,19 +295,22 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", deco
     kept = docs.select(*columns)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
-        for batch in batches:
-            low = 0
-            for run in slices(batch[text_col].to_pylist(), 1 << 20):
-                ids, sizes, same = coder.encode_flat(run)
-                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
-                if decode:
-                    flat = ids.tolist()
-                    made.append(pa.array(coder.decode([flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]), pa.string()))
-                part = batch.slice(low, len(run))
-                low += len(run)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), *made], names=[*columns, *(n for n, _ in new)])
+        coder = coder_of(shared.value)
+        try:
+            for batch in batches:
+                low = 0
+                for run in slices(batch[text_col].to_pylist(), 1 << 20):
+                    ids, sizes, same = coder.encode_flat(run)
+                    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                    made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
+                    if decode:
+                        flat = ids.tolist()
+                        made.append(pa.array(coder.decode([flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]), pa.string()))
+                    part = batch.slice(low, len(run))
+                    low += len(run)
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), *made], names=[*columns, *(n for n, _ in new)])
+        finally:
+            coder.forget()
 
     return kept.mapInArrow(tidied(encode), T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema), *(T.StructField(n, t) for n, t in new)]))
 
@@ -302,7 +323,7 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "token_ids")
     kept = rows.select(*columns)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = coder_of(shared.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
