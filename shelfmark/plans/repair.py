@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.operators import ledger
-from shelfmark.plans import raw_load, refresh
+from shelfmark.plans import jobs, raw_load, refresh
 from shelfmark.functions.timing import instant
 from shelfmark.session import settle
 from shelfmark.sources.tables import Warehouse, Written
@@ -39,6 +39,15 @@ def load_store_windows(warehouse: Warehouse, source: dict[str, DataFrame], windo
         return {name: warehouse.upsert(name, frame) for name, frame in shape_store_windows(source, windows).items()}
 
 
+def read_counts(source: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
+    """(store_id, rows) of source records that changed in the stores' windows. Lines are part of their sale. Only the
+    store and the change times are read."""
+    within = envelope(windows)
+    changes = {"transactions": ["created_at"], "products": ["updated_at"], "customers": ["updated_at"], "alerts": list(raw_load.ALERT_INSTANTS)}
+    frames = [changed_in_store_windows(source[name], windows, on=on, within=within).select("store_id") for name, on in changes.items()]
+    return reduce(DataFrame.unionByName, frames).groupBy("store_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def run_sync(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) -> dict[str, Written]:
     """Load every idle store's next window and write the runs to the ledger. A failed load leaves
     FAILED runs and dead letters behind and moves no window."""
@@ -58,9 +67,9 @@ def run_sync(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) -> di
         raise
     per_store = reduce(DataFrame.unionByName, [w.per_store for w in written.values()])
     totals = per_store.groupBy("store_id").agg(F.sum("rows").alias("records_written"))
-    counts = mine.select("store_id", "pipeline_run_id").join(totals, "store_id", "left").select(
-        "pipeline_run_id", F.coalesce("records_written", F.lit(0)).alias("records_read"),
-        F.coalesce("records_written", F.lit(0)).alias("records_written"))
+    found = read_counts(source, mine).withColumnRenamed("rows", "records_read")
+    counts = mine.select("store_id", "pipeline_run_id").join(totals, "store_id", "left").join(found, "store_id", "left").select(
+        "pipeline_run_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("records_read", "records_written")])
     warehouse.upsert("pipeline_runs", ledger.succeeded(mine, counts, as_of=as_of))
     return written
 
@@ -89,14 +98,17 @@ def run_transform(warehouse: Warehouse, stores: DataFrame, *, as_of) -> bool:
     warehouse.upsert("pipeline_runs", ledger.queued_runs(windows, ledger.MART, as_of=as_of))
     mine = settle(warehouse.read("pipeline_runs").where(
         (F.col("status") == "QUEUED") & (F.col("run_type") == ledger.MART) & (F.col("started_at") == instant(as_of))), "mart-runs")
+    zero = F.lit(0).cast("bigint")
     try:
-        refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"mart-{as_of}", stamps=mine, **_since(warehouse, windows))
+        # The marts, their freshness, the runs' success and the work that follows appear together.
+        with warehouse.transaction():
+            refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"mart-{as_of}", stamps=mine, **_since(warehouse, windows))
+            counts = mine.select("pipeline_run_id", zero.alias("records_read"), zero.alias("records_written"))
+            warehouse.upsert("pipeline_runs", ledger.succeeded(mine, counts, as_of=as_of))
+            jobs.follow_marts(warehouse, mine, as_of=as_of)
     except Exception as error:
         close_failed(warehouse, mine, stage="MART_REFRESH", error=error, as_of=as_of)
         raise
-    zero = F.lit(0).cast("bigint")
-    counts = mine.select("pipeline_run_id", zero.alias("records_read"), zero.alias("records_written"))
-    warehouse.upsert("pipeline_runs", ledger.succeeded(mine, counts, as_of=as_of))
     return True
 
 
@@ -118,9 +130,11 @@ def run_repair(warehouse: Warehouse, source: dict[str, DataFrame], *, as_of) ->
         named = replayed.groupBy("store_id").agg(F.max("pipeline_run_id").alias("pipeline_run_id"))
         stamps = settle(replays.join(named, "store_id"), "repair-stamps")
         refresh.refresh_marts(warehouse, as_of=as_of, run_id=f"repair-{as_of}", stamps=stamps, **_since(warehouse, replays))
-        ok = True
-    except Exception:  # noqa: BLE001 - the failures go back to OPEN and stay in the table
-        ok = False
+        ok, why = True, None
+    except Exception as error:  # noqa: BLE001 - the failures go back to OPEN, with the new error
+        ok, why = False, str(error)[: ledger.ERROR_LENGTH]
+    if why is not None:
+        replayed = settle(replayed.withColumn("error_message", F.lit(why)), "replayed")
     outcomes = replayed.select("failure_id", F.lit(ok).alias("ok"))
     warehouse.upsert("pipeline_failures", ledger.after_replay(replayed, outcomes, as_of=as_of))
     return {"recovered": number if ok else 0, "failed": 0 if ok else number}

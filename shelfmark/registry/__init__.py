@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from shelfmark.registry import alert_queries, ledger_queries, load_queries, mart_queries, retrieval_queries, stream_queries, trade_queries  # noqa: F401
+    from shelfmark.registry import alert_queries, job_queries, ledger_queries, load_queries, mart_queries, retrieval_queries, stream_queries, trade_queries  # noqa: F401

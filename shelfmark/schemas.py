@@ -47,6 +47,10 @@ ENTITIES: dict[str, str] = {
         "event_id string, store_id string, alert_id string, from_status string, to_status string, "
         "changed_by string, note string, changed_at timestamp"
     ),
+    "followups": (
+        "task_id string, store_id string, kind string, subject_id string, status string, attempt_count int, "
+        "error_message string, created_at timestamp, done_at timestamp"
+    ),
     "chat_sessions": (
         "chat_session_id string, store_id string, user_id string, created_at timestamp, last_query_at timestamp"
     ),

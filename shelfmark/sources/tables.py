@@ -80,6 +80,7 @@ LAYOUTS: dict[str, Layout] = {
     "transactions": Layout(("transaction_id",), day_of="sale_timestamp"),
     "stock_adjustments": Layout(("adjustment_id",), day_of="created_at"),
     "stores": Layout(("store_id",)),
+    "followups": Layout(("task_id",), bucket_of="task_id"),
     "chat_sessions": Layout(("chat_session_id",)),
     "messages": Layout(("message_id",)),
 }
