@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.timing import days_before, instant, whole_days_to
+from shelfmark.operators.demand import completed, units_in
 
 RULE_COLUMNS = (
     "store_id", "alert_type", "condition_key", "source_entity_id", "triggered", "severity", "title", "message", "metadata",
@@ -43,11 +44,6 @@ def _known(products: DataFrame) -> DataFrame:
     )
 
 
-def completed(status: Column) -> Column:
-    """A missing or empty status counts as completed."""
-    return F.coalesce(F.nullif(status, F.lit("")), F.lit("COMPLETED")) == "COMPLETED"
-
-
 def _low_stock() -> Column:
     quantity = F.col("quantity_on_hand")
     threshold = F.coalesce("reorder_threshold", F.lit(0).cast("bigint"))
@@ -141,8 +137,9 @@ def _units(items: DataFrame, windows: dict[str, tuple[Column, Column]]) -> DataF
 
 
 def evaluate(kinds: Sequence[str], products: DataFrame, items: DataFrame | None = None, *, as_of=None,
-             lookback_days: int = 14, recent_days: int = 3, baseline_days: int = 14) -> DataFrame:
-    """One row per product and kind, from one scan of the products and at most one of the sales.
+             lookback_days: int = 14, recent_days: int = 3, baseline_days: int = 14, days: DataFrame | None = None) -> DataFrame:
+    """One row per product and kind, from one scan of the products and at most one of the sales. With ``days``, kept
+    sums per day (:func:`shelfmark.operators.demand.day_units`), only the sales of the windows' first and last days are read.
 
     The windows are closed at both ends, so a sale at the edge between recent and baseline counts in both.
     """
@@ -158,7 +155,8 @@ def evaluate(kinds: Sequence[str], products: DataFrame, items: DataFrame | None
         windows["recent_units_sold"] = (edge, instant(as_of))
         windows["baseline_units_sold"] = (days_before(as_of, recent_days + baseline_days), edge)
     if windows:
-        rows = rows.join(_units(items, windows), ["store_id", "product_id"], "left").withColumns(
+        units = _units(items, windows) if days is None else units_in(windows, days, items)
+        rows = rows.join(units, ["store_id", "product_id"], "left").withColumns(
             {n: F.coalesce(n, F.lit(0).cast("bigint")) for n in windows})
     rules = {
         "LOW_STOCK": _low_stock, "EXPIRY_SOON": lambda: _expiry_soon(as_of), "NOT_SELLING": lambda: _not_selling(lookback_days),

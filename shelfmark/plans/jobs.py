@@ -11,8 +11,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.functions.timing import instant
-from shelfmark.operators import alert_book, billing, sessions, stock, vectors
+from shelfmark.functions.timing import days_before, instant
+from shelfmark.operators import alert_book, billing, demand, sessions, stock, vectors
 from shelfmark.plans import sweep
 from shelfmark.session import settle
 from shelfmark.sources.tables import Warehouse
@@ -50,7 +50,11 @@ def sell(warehouse: Warehouse, requests: DataFrame, *, as_of, created_by: str =
     with warehouse.transaction():
         result = billing.bill(requests, warehouse.read("products"), warehouse.read("customers"), warehouse.read("idempotency"), created_by=created_by)
         decisions = settle(result.decisions, "decisions")
-        warehouse.upsert("transactions", result.transactions, check_keys=False)
+        written = settle(result.transactions, "transactions")
+        warehouse.upsert("transactions", written, check_keys=False)
+        more = settle(demand.day_units(_lines(written)), "demand")
+        stored = warehouse.read("demand_days", folders=warehouse.folders_of("demand_days", more))
+        warehouse.upsert("demand_days", demand.with_more(stored, more), check_keys=False)
         warehouse.upsert("stock_adjustments", result.adjustments, check_keys=False)
         sold = settle(result.products, "sold")
         warehouse.upsert("products", sold, check_keys=False)
@@ -95,13 +99,25 @@ def patch_products(warehouse: Warehouse, patches: DataFrame, *, as_of) -> DataFr
     return made.rejected
 
 
+def _lines(transactions: DataFrame) -> DataFrame:
+    return transactions.select("store_id", "status", "sale_timestamp", F.explode("items").alias("line")).select(
+        "store_id", "status", "sale_timestamp", "line.product_id", "line.quantity")
+
+
+def end_days(warehouse: Warehouse, *, as_of) -> list[str]:
+    """The days in which the rules' windows start or end."""
+    ends = [F.date_format(days_before(as_of, n), "yyyy-MM-dd") for n in (0, 3, 14, 17)]
+    return sorted(warehouse.spark.range(1).select(F.array(*ends)).first()[0])
+
+
 def sweep_alerts(warehouse: Warehouse, kinds, *, as_of, stores: DataFrame | None = None) -> None:
-    """Evaluate the kinds for all stores, or the given ones, and write alerts and their history."""
+    """Evaluate the kinds for all stores, or the given ones, and write alerts and their history. Of the sales only the
+    days at the ends of the rules' windows are read; the sums of whole days are kept by :func:`sell`."""
     mine = (lambda df: df) if stores is None else (lambda df: df.join(stores.select("store_id").distinct(), "store_id", "left_semi"))
-    lines = mine(warehouse.read("transactions")).select("store_id", "status", "sale_timestamp", F.explode("items").alias("line")).select(
-        "store_id", "status", "sale_timestamp", "line.product_id", "line.quantity")
+    lines = _lines(mine(warehouse.read("transactions", folders=end_days(warehouse, as_of=as_of))))
     with warehouse.transaction():
-        _write_alerts(warehouse, sweep.sweep(kinds, mine(warehouse.read("products")), lines, mine(warehouse.read("alerts")), as_of=as_of))
+        _write_alerts(warehouse, sweep.sweep(
+            kinds, mine(warehouse.read("products")), lines, mine(warehouse.read("alerts")), as_of=as_of, days=mine(warehouse.read("demand_days"))))
 
 
 def command_alerts(warehouse: Warehouse, commands: DataFrame) -> DataFrame:

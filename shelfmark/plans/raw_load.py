@@ -42,39 +42,10 @@ def collapse_lines(lines: DataFrame, *, order: Column | None = None) -> DataFram
     )
 
 
-# Up to this many lines a sale is collapsed within its row; the work there is lines times products.
-LINES_IN_ROW = 500
-
-
 def transaction_items_raw(transactions: DataFrame) -> DataFrame:
-    """:func:`collapse_lines` of nested sales. A sale's lines are in one row already, so no shuffle is
-    needed for them; only unusually long sales are taken apart and grouped."""
+    """:func:`collapse_lines` of nested sales. A sale's lines come out of one row, so they are added up before the shuffle."""
     keyed = transactions.withColumn("transaction_id", _key(transactions, "transaction_id"))
-    long = F.size("items") > LINES_IN_ROW
-    return _collapsed_in_row(keyed.where(~long)).unionByName(collapse_lines(flat_lines(keyed.where(long))))
-
-
-def _collapsed_in_row(transactions: DataFrame) -> DataFrame:
-    named = F.filter("items", lambda i: F.coalesce(i["product_id"], F.lit("")) != "")
-    zero = F.lit(0).cast("bigint")
-
-    def collapsed(product_id: Column) -> Column:
-        own = F.filter("_named", lambda i: i["product_id"] == product_id)
-        first_given = lambda field: F.get(F.filter(F.transform(own, lambda i: i[field]), lambda v: v.isNotNull()), F.lit(0))
-        total = lambda field, nothing, dtype: F.aggregate(
-            own, F.lit(0).cast(dtype), lambda sum, i: (sum + F.coalesce(i[field], nothing)).cast(dtype))
-        return F.struct(
-            product_id.alias("product_id"), first_given("product_name").alias("product_name"),
-            total("quantity", zero, "bigint").alias("quantity"), first_given("unit_price").alias("unit_price"),
-            total("line_total", money(F.lit(0)), "decimal(18,2)").alias("line_total"),
-        )
-
-    products = F.array_distinct(F.transform("_named", lambda i: i["product_id"]))
-    return (
-        transactions.withColumn("_named", named)
-        .select("transaction_id", "store_id", "sale_timestamp", F.explode(F.transform(products, collapsed)).alias("line"))
-        .select("transaction_id", "store_id", "line.*", "sale_timestamp")
-    )
+    return collapse_lines(flat_lines(keyed))
 
 
 def inventory_snapshot_raw(products: DataFrame, captured_at: Column) -> DataFrame:

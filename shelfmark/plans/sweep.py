@@ -9,14 +9,14 @@ from shelfmark.operators.alert_book import AlertChanges, reconcile
 from shelfmark.schemas import ALERT_TYPES
 
 
-def rule_rows(kinds, products: DataFrame, items: DataFrame | None, *, as_of) -> DataFrame:
+def rule_rows(kinds, products: DataFrame, items: DataFrame | None, *, as_of, days: DataFrame | None = None) -> DataFrame:
     """The chosen rules' rows in one frame, from one pass over products and sales."""
-    return alert_rules.evaluate(kinds, products, items, as_of=as_of)
+    return alert_rules.evaluate(kinds, products, items, as_of=as_of, days=days)
 
 
-def sweep(kinds, products: DataFrame, items: DataFrame | None, alerts: DataFrame, *, as_of) -> AlertChanges:
+def sweep(kinds, products: DataFrame, items: DataFrame | None, alerts: DataFrame, *, as_of, days: DataFrame | None = None) -> AlertChanges:
     """One scheduled sweep: the given kinds, every store."""
-    return reconcile(rule_rows(kinds, products, items, as_of=as_of), alerts, as_of=as_of)
+    return reconcile(rule_rows(kinds, products, items, as_of=as_of, days=days), alerts, as_of=as_of)
 
 
 def rebuild(products: DataFrame, items: DataFrame, alerts: DataFrame, *, as_of) -> AlertChanges:

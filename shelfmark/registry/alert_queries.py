@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions.coerce import for_output
-from shelfmark.operators import alert_book, alert_rules
+from shelfmark.operators import alert_book, alert_rules, demand
 from shelfmark.plans import sweep
 from shelfmark.registry import query
 from shelfmark.sources import testdata as td
@@ -109,6 +109,14 @@ def _(spark, d):
     return _fired(alert_rules.high_demand(td.products(spark, d), td.items(spark, d), as_of=AS_OF))
 
 
+@query("rules_from_kept_days", sql_views("products", "items") + _fired_sql(NOT_SELLING) + " UNION ALL " + _fired_sql(DEMAND))
+def _(spark, d):
+    """Both sales rules from sums per day and the sales of the windows' first and last days."""
+    items = td.items(spark, d)
+    ends = items.where(F.to_date("sale_timestamp").isin([F.date_sub(F.lit(AS_OF).cast("date"), n) for n in (0, 3, 14, 17)]))
+    return _fired(sweep.rule_rows(("NOT_SELLING", "HIGH_DEMAND"), td.products(spark, d), ends, as_of=AS_OF, days=demand.day_units(items)))
+
+
 @query("reconcile_alerts", sql_views("products", "items", "alerts") + RULES + BOOK + """
  , open_book AS (SELECT * FROM book WHERE status <> 'RESOLVED'),
  decided AS (SELECT r.*, b.alert_id AS old_id, b.status AS old_status, b.severity AS old_severity, b.title AS old_title,

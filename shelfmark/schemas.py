@@ -106,6 +106,7 @@ MARTS: dict[str, str] = {
         "store_id string, sales_date date, product_id string, product_name string, quantity_sold bigint, "
         "revenue decimal(18,2), analytics_last_updated_at timestamp"
     ),
+    "demand_days": "store_id string, product_id string, sales_date date, units bigint",
     "customer_summary": (
         "store_id string, customer_id string, customer_name string, lifetime_spend decimal(18,2), "
         "visit_count bigint, last_purchase_at timestamp, analytics_last_updated_at timestamp"

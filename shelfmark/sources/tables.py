@@ -65,6 +65,7 @@ LAYOUTS: dict[str, Layout] = {
     "alerts_raw": Layout(("alert_id",), bucket_of="alert_id"),
     "sales_daily": Layout(("store_id", "sales_date")),
     "product_sales_daily": Layout(("store_id", "sales_date", "product_id"), day_of="sales_date"),
+    "demand_days": Layout(("store_id", "sales_date", "product_id"), day_of="sales_date"),
     "customer_summary": Layout(("store_id", "customer_id"), bucket_of="customer_id"),
     "inventory_health": Layout(("store_id", "product_id", "snapshot_date"), day_of="snapshot_date"),
     "dashboard_summary": Layout(("store_id", "snapshot_date")),

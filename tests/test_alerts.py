@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import alert_book, alert_rules
 from shelfmark.plans import sweep
@@ -134,3 +136,27 @@ def test_listing(spark):
     assert alert_book.list_alerts(stored, status="RESOLVED").count() == 1
     with pytest.raises(ValueError):
         alert_book.list_alerts(stored, severity="HUGE")
+
+
+def test_rules_from_kept_days_equal_those_from_all_sales(spark):
+    """Two sweeps on successive days, at odd times of day, over sales that fall on the windows' very ends too."""
+    from shelfmark.operators import alert_rules, demand
+
+    rng = random.Random(4)
+    first = dt.datetime(2025, 3, 20, 9, 30)
+    edges = [first - dt.timedelta(days=n) + dt.timedelta(seconds=s) for n in (0, 1, 2, 3, 13, 14, 16, 17, 18) for s in (-1, 0, 1)]
+    sales = [("s", f"p{rng.randint(0, 14)}", rng.choice([None, 1, 2, 9]), rng.choice([None, "", "COMPLETED", "FAILED"]),
+              rng.choice(edges + [first - dt.timedelta(minutes=rng.randint(0, 30_000)) for _ in range(40)])) for _ in range(500)]
+    lines = spark.createDataFrame(sales + [("s", "", 5, None, first), ("s", None, 5, None, first), ("s", "p1", 5, None, None)],
+                                  "store_id string, product_id string, quantity bigint, status string, sale_timestamp timestamp")
+    products = spark.createDataFrame([("s", f"p{k}", f"P{k}", k * 3) for k in range(16)], "store_id string, product_id string, name string, quantity_on_hand bigint")
+    early = lines.where(F.col("sale_timestamp") < F.lit(first - dt.timedelta(days=2)))
+    kept = demand.with_more(demand.day_units(early), demand.day_units(lines.where(F.col("sale_timestamp") >= F.lit(first - dt.timedelta(days=2)))))
+    kept = kept.unionByName(demand.day_units(early).join(kept, ["store_id", "product_id", "sales_date"], "left_anti"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, demand.day_units(lines).collect()))
+    for as_of in (first, first + dt.timedelta(days=1), dt.datetime(2025, 3, 20)):
+        ends = [(as_of - dt.timedelta(days=n)).date() for n in (0, 3, 14, 17)]
+        some = lines.where(F.to_date("sale_timestamp").isin(ends))
+        kinds = ("NOT_SELLING", "HIGH_DEMAND")
+        want = sorted(map(str, alert_rules.evaluate(kinds, products, lines, as_of=as_of).collect()))
+        assert sorted(map(str, alert_rules.evaluate(kinds, products, some, as_of=as_of, days=kept).collect())) == want
