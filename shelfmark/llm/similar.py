@@ -353,7 +353,10 @@ def _placed(lists: DataFrame) -> DataFrame:
     before = Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     held = numbered.groupBy("token", "part").agg(F.count("*").alias("held"))
     past = held.withColumn("past", F.sum("held").over(before)).where("past > 0").select("token", "part", "past")
-    return numbered.join(past, ["token", "part"], "left").withColumn("rank", F.col("within") + F.coalesce("past", F.lit(0))).drop("part", "within", "past")
+    placed = numbered.join(past, ["token", "part"], "left").withColumn("rank", F.col("within") + F.coalesce("past", F.lit(0))).drop("part", "within", "past")
+    placed = settle(placed, "placed")
+    release(numbered)
+    return placed
 
 
 def candidate_lists(docs: DataFrame, similarity: float, text_col: str, shingle: int) -> DataFrame:
@@ -364,7 +367,9 @@ def candidate_lists(docs: DataFrame, similarity: float, text_col: str, shingle:
     shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     lists = settle(rows.join(shared, "token"), "lists")
     release(rows)
-    return settle(_placed(lists), "placed")
+    placed = _placed(lists)
+    release(lists)
+    return placed
 
 
 def _renamed(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
@@ -378,12 +383,16 @@ def join_exactly(placed: DataFrame, sets: DataFrame, roots: DataFrame, similarit
 
     Round by round rows of a list meet that are further apart in it; a list is done when all its rows
     are in one group or no distance is left, so in the end no pair in different groups is unchecked.
+    Each table is removed, ``placed`` too, once the one made of it is written.
     """
-    live, low, made = _renamed(placed.withColumn("own", F.col("node")), roots, "own"), 1, []
+    live, low, made, held = _renamed(placed.withColumn("own", F.col("node")), roots, "own"), 1, [], placed
     while True:
         apart = live.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
         live = settle(live.where(F.col("n") > low).join(apart, "token", "left_semi"), "live")
+        release(held)
+        held = live
         if not live.head(1):
+            release(held)
             return made
         far = F.least(F.lit(STEP * low - 1), F.col("n") - 1 - F.col("rank"))
         left = live.where(F.col("rank") + low < F.col("n")).select("token", F.struct("node", "own").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), F.explode(F.sequence(F.col("rank") + low, F.col("rank") + far)).alias("rank"))
@@ -393,9 +402,11 @@ def join_exactly(placed: DataFrame, sets: DataFrame, roots: DataFrame, similarit
         met = met.where(F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at")) >= need)
         pairs = settle(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(F.col("x.node").alias("u"), F.col("x.own").alias("u_own"), F.col("y.node").alias("v"), F.col("y.own").alias("v_own")), "pairs")
         links = settle(_checked(pairs, sets, similarity).join(pairs, ["u", "v"]).select("u_own", "v_own"), "checked")
+        release(pairs)
         if links.head(1):
             made.append(settle(components(links, "u_own", "v_own"), "joined"))
             live = _renamed(live, made[-1], "own")
+        release(links)
         low *= STEP
 
 
@@ -412,15 +423,23 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     marked = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     named = marked.select("node", _node("f").alias("print")).distinct()
     named = settle(named.join(named.groupBy("print").agg(F.min("node").alias("rep")), "print"), "named")
-    links = settle(link_similar(settle(marked.select(*PARTS).distinct(), "distinct"), sure, limit), "links")
+    prints = settle(marked.select(*PARTS).distinct(), "distinct")
+    links = settle(link_similar(prints, sure, limit), "links")
+    release(prints)
     reps = named.select("print", "rep").distinct()
     ends = links.join(reps.withColumnsRenamed({"print": "u", "rep": "a"}), "u").join(reps.withColumnsRenamed({"print": "v", "rep": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), "sure")
     ends = settle(ends.unionByName(named.where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"), F.lit(True).alias("sure"))), "ends")
+    release(links)
+    release(named)
     placed = candidate_lists(docs, similarity, text_col, shingle)
     nodes = placed.select("node").unionByName(ends.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     sets = settle(_sets(docs, marked, nodes, id_col, text_col, shingle), "sets")
     roots = settle(components(_checked(ends, sets, similarity)), "roots")
+    release(ends)
     rooted = _renamed(marked.select("id", "key", F.col("node").alias("root")), roots, "root")
     for joined in join_exactly(placed, sets, roots, similarity):
         rooted = _renamed(rooted, joined, "root")
-    return keep_first(docs, settle(rooted, "rooted"), id_col, text_col)
+    rooted = settle(rooted, "rooted")
+    for done in (sets, roots, marked):
+        release(done)
+    return keep_first(docs, rooted, id_col, text_col)
