@@ -21,11 +21,11 @@ FOREVER = "4000 days"
 
 
 def _slices(rows: DataFrame, label: str, n: int = 4):
-    """``rows`` as a stream of about ``n`` files."""
+    """``rows`` as a stream of ``n`` slices, each of as many files as tasks run at once."""
     spark = rows.sparkSession
-    folder = scratch_path(spark, label)
-    rows.repartition(n).write.parquet(folder)
-    return lambda files: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    folder, each = scratch_path(spark, label), spark.sparkContext.defaultParallelism
+    rows.repartition(n * each).write.parquet(folder)
+    return lambda slices: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", slices * each).parquet(folder)
 
 
 def _drained(stream: DataFrame, label: str, mode: str) -> str:
@@ -52,10 +52,10 @@ def _(spark, d):
   CAST(SUM(quantity) AS BIGINT) AS units_sold FROM items, range(3) AS r(o) WHERE status = 'COMPLETED' GROUP BY 1, 2, 3""")
 def _(spark, d):
     lines = td.items(spark, d).select("store_id", "product_id", "quantity", "status", "sale_timestamp")
-    stream = sales.demand_by_window(_slices(lines, "line-files")(2), lateness=FOREVER)
-    path = _drained(stream, "demand", "update")
-    rows = stateful.newest_update(spark, path, _ddl(stream), ["store_id", "product_id", "window_start", "window_end"])
-    return rows.select("store_id", "product_id", F.date_format("window_start", "yyyy-MM-dd").alias("first_day"), "units_sold")
+    path = scratch_path(spark, "demand")
+    sales.keep_demand(_slices(lines, "line-files")(2), path, checkpoint=scratch_path(spark, "demand-checkpoint")).awaitTermination()
+    rows = sales.demand_by_window(spark, path)
+    return rows.select("store_id", "product_id", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), "units_sold")
 
 
 @query("stream_requests_once", """SELECT DISTINCT concat('store_', CAST(o_custkey % 5 AS VARCHAR)) AS store_id,

@@ -77,3 +77,18 @@ def test_late_rows_are_kept_aside(spark, tmp_path):
                         marks=f"{out}/marks", checkpoint=f"{out}/c").awaitTermination()
     assert [r.late_rows for r in feed.late_counts(spark, f"{out}/late", schema).collect()] == [1]
     assert spark.read.schema(schema).parquet(f"{out}/ok").count() == 3
+
+
+def test_demand_is_added_up_without_remembered_state(spark, tmp_path):
+    """Sums of batches add up to those of all rows, however late a row is; nothing per product and window is held."""
+    schema = "store_id string, product_id string, quantity bigint, status string, sale_timestamp timestamp"
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    day = dt.timedelta(days=1)
+    for rows in ([("s", "p", 5, None, T0 + 40 * day), ("s", "p", 2, "COMPLETED", T0), ("s", "p", 9, "FAILED", T0), ("s", "", 9, None, T0)],
+                 [("s", "p", 1, "COMPLETED", T0 + day + MIN), ("s", "p", 4, "", T0), ("s", "q", 3, None, None), ("s", "q", None, None, T0)]):
+        arrive(spark, folder, rows, schema)
+        sales.keep_demand(feed.arriving(spark, folder, schema), out, checkpoint=mark).awaitTermination()
+    got = {(r.product_id, r.first_day): r.units_sold for r in sales.demand_by_window(spark, out, days=2).collect()}
+    on = lambda n: (T0 + n * day).date()
+    assert got == {("p", on(-1)): 6, ("p", on(0)): 7, ("p", on(1)): 1, ("p", on(39)): 5, ("p", on(40)): 5, ("q", on(-1)): None, ("q", on(0)): None}
+    assert not (tmp_path / "mark" / "state").exists()
