@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.coerce import money
@@ -101,9 +105,8 @@ def _one_by_one(rows: Column, start: Column) -> Column:
     return F.aggregate(rows, none, step, lambda run: run["seen"])
 
 
-def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: int | None = None) -> StockResult:
-    """Adjustments in the order (created_at, adjustment_id); one that would make the stock negative is
-    rejected and the next ones go on from the unchanged stock.
+def _fold_in_chunks(opening: DataFrame, lines: DataFrame, chunks: int | None) -> tuple[DataFrame, DataFrame]:
+    """(decisions, changed products) of products whose rows lie in several partitions.
 
     Rows lie in blocks, blocks in chunks, each with its sum and the lowest sum on the way. A block or chunk
     that stays at or above zero from its start is accepted whole, from these two numbers alone. Only a product's
@@ -111,15 +114,7 @@ def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: in
     the blocks that run short are visited row by row. This repeats while any chunk runs short: a round folds one
     chunk of every such product in parallel. All of it is column expressions.
     """
-    zero = F.lit(0).cast(_LONG)
-    opening = products.select(*KEYS, F.coalesce("quantity_on_hand", zero).alias("_opening"))
-    valid, invalid = split_valid(adjustments, adjustment_rules())
-    unknown = valid.join(opening, KEYS, "left_anti")
-    sign = F.when(F.col("adjustment_type").isin(*SUBTRACTING_TYPES), F.lit(-1)).otherwise(F.lit(1))
     order = ["created_at", "adjustment_id"]
-    lines = valid.join(opening.select(*KEYS), KEYS, "left_semi").select(
-        *KEYS, *order, (sign * F.col("quantity_delta")).cast(_LONG).alias("delta"), F.struct(*adjustments.columns).alias("row"))
-
     # The number that Spark gives a row of a sorted partition grows by one a row; its upper bits are the partition's.
     placed = in_order_chunks(lines, KEYS, order, chunks).sortWithinPartitions(*KEYS, *order).withColumn("place", F.monotonically_increasing_id())
     packed = placed.groupBy(*KEYS, CHUNK, F.expr(f"place div {BLOCK}").alias("block")).agg(
@@ -164,6 +159,96 @@ def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: in
     decisions = judged.select(
         "x.row.*", F.col("x.seen.fits").alias("accepted"), F.when(~F.col("x.seen.fits"), F.lit("NEGATIVE_STOCK")).alias("refusal"),
         F.col("x.seen.before").alias("quantity_before"), _after(F.col("x.seen.before"), F.col("x.delta")).alias("quantity_after"))
+    changed = summary.groupBy(*KEYS).agg(
+        (F.max("_opening") + F.sum("_total")).alias("quantity_on_hand"), F.max("_last").alias("updated_at")
+    )
+    return decisions, changed
+
+
+_FOLD = "_opening bigint, delta bigint, before bigint, fits boolean, settled boolean"
+
+
+def _fold(columns: list[str]):
+    """Folds the products of a partition that is sorted by product and order, a product's opening row first. Rows of a product without
+    one here, or with an ambiguous one, come back unsettled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened, stock = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            stores, products = batch.column("store_id"), batch.column("product_id")
+            n = batch.num_rows
+            new = np.ones(n, dtype=bool)
+            for column in (stores, products):
+                same = pc.equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                new[1:] = same if column is stores else new[1:] & same
+            new[1:] = ~new[1:]
+            first = (stores[0].as_py(), products[0].as_py())
+            new[0] = first != last
+            last = (stores[n - 1].as_py(), products[n - 1].as_py())
+            kept, openings, befores, fits = [], [], [], []
+            for i, (begins, rank, delta, copies) in enumerate(zip(new.tolist(), batch.column("_rank").to_pylist(), batch.column("delta").to_pylist(), batch.column("_copies").to_pylist())):
+                if begins:
+                    opened = None
+                if not rank:
+                    opened = stock = delta if copies == 1 else None
+                    continue
+                kept.append(i)
+                openings.append(opened)
+                befores.append(stock if opened is not None else None)
+                if opened is not None:
+                    fits.append(stock + delta >= 0)
+                    if fits[-1]:
+                        stock += delta
+                else:
+                    fits.append(None)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            opening = pa.array(openings, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[rows.column(c) for c in columns], opening, rows.column("delta"), pa.array(befores, pa.int64()), pa.array(fits, pa.bool_()), pc.is_valid(opening)],
+                names=[*columns, "_opening", "delta", "before", "fits", "settled"])
+
+    return run
+
+
+def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: int | None = None) -> StockResult:
+    """Adjustments in the order (created_at, adjustment_id); one that would make the stock negative is
+    rejected and the next ones go on from the unchanged stock.
+
+    Rows are range-partitioned by product and order once, the opening stock of every product as its first row, so that
+    no join is needed: a task folds the products that begin in its partition. At most one product a partition began in an
+    earlier one; these few, which may be very large, are folded by chunks, all their partitions in parallel.
+    """
+    zero = F.lit(0).cast(_LONG)
+    columns = adjustments.columns
+    opening = products.select(*KEYS, F.coalesce("quantity_on_hand", zero).alias("_opening"))
+    valid, invalid = split_valid(adjustments, adjustment_rules())
+    sign = F.when(F.col("adjustment_type").isin(*SUBTRACTING_TYPES), F.lit(-1)).otherwise(F.lit(1))
+    order = ["created_at", "adjustment_id"]
+    first = opening.where("store_id is not null and product_id is not null").groupBy(*KEYS).agg(
+        F.min("_opening").alias("delta"), F.count(F.lit(1)).alias("_copies")).withColumn("_rank", F.lit(0))
+    lines = valid.where("product_id is not null").select(*columns, (sign * F.col("quantity_delta")).cast(_LONG).alias("delta"), F.lit(1).alias("_rank"))
+    count = chunks or int(adjustments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = lines.unionByName(first, allowMissingColumns=True)
+    ranged = placed.repartitionByRange(count, *KEYS, "_rank", *order).sortWithinPartitions(*KEYS, "_rank", *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in adjustments.schema.fields) + ", " + _FOLD
+    folded = settle(ranged.mapInArrow(_fold(columns), schema), "folded-rows")
+    # The products of unsettled rows are at most one a partition, those stored twice, and those not stored at all.
+    open_keys = settle(folded.where("not settled").select(*KEYS).distinct(), "open-products")
+    spanning = settle(opening.join(open_keys, KEYS, "left_semi"), "spanning")
+
+    own = folded.where("settled").join(spanning.select(*KEYS), KEYS, "left_anti")
+    after = _after(F.col("before"), F.col("delta"))
+    decisions = own.select(*columns, F.col("fits").alias("accepted"), F.when(~F.col("fits"), F.lit("NEGATIVE_STOCK")).alias("refusal"),
+                           F.col("before").alias("quantity_before"), after.alias("quantity_after"))
+    changed = own.groupBy(*KEYS).agg(
+        (F.max("_opening") + F.sum(F.when(F.col("fits"), F.col("delta")).otherwise(zero))).alias("quantity_on_hand"), F.max("created_at").alias("updated_at"))
+    if not spanning.isEmpty():
+        large = folded.join(spanning.select(*KEYS), KEYS, "left_semi").select(*KEYS, *order, "delta", F.struct(*columns).alias("row"))
+        chunked, chunked_products = _fold_in_chunks(spanning, large, chunks)
+        decisions, changed = decisions.unionByName(chunked), changed.unionByName(chunked_products)
+    unknown = folded.where("not settled").join(spanning.select(*KEYS), KEYS, "left_anti").select(*columns).unionByName(valid.where("product_id is null"))
     refused = lambda df, why: df.select(
         *adjustments.columns, F.lit(False).alias("accepted"), why.alias("refusal"),
         zero.alias("quantity_before"), zero.alias("quantity_after"),
@@ -171,7 +256,4 @@ def apply_adjustments(products: DataFrame, adjustments: DataFrame, *, chunks: in
     decisions = decisions.unionByName(refused(unknown, F.lit("PRODUCT_NOT_FOUND"))).unionByName(
         refused(invalid, F.concat_ws("; ", VIOLATIONS))
     )
-    changed = summary.groupBy(*KEYS).agg(
-        (F.max("_opening") + F.sum("_total")).alias("quantity_on_hand"), F.max("_last").alias("updated_at")
-    )
     return StockResult(decisions, changed)

@@ -131,3 +131,17 @@ def test_plan_has_no_python(spark):
     result = stock.apply_adjustments(spark.createDataFrame([("s", "p", 1)], PROD), spark.createDataFrame(
         [("a", "s", "p", "REMOVE", 2, "r", None, "u", T0)], ADJ))
     assert "Python" not in result.decisions._jdf.queryExecution().toString() and "Pandas" not in result.decisions._jdf.queryExecution().toString()
+
+
+def test_whole_products_are_folded_where_they_are_sorted(spark, monkeypatch):
+    """Rows are moved once: what lies in one partition needs no blocks, and only products over a border are folded by chunks."""
+    rng = random.Random(9)
+    products = [("s", f"p{i:02d}", rng.randint(0, 40)) for i in range(40)]
+    rows = [(f"a{n:04d}", "s", f"p{rng.randint(0, 39):02d}", rng.choice(["ADD", "REMOVE"]), rng.randint(1, 25), "r", None, "u",
+             T0 + dt.timedelta(minutes=rng.randint(0, 60))) for n in range(800)]
+    large, real = [], stock._fold_in_chunks
+    monkeypatch.setattr(stock, "_fold_in_chunks", lambda opening, lines, chunks: large.append(lines.select("product_id").distinct().count()) or real(opening, lines, chunks))
+    got, on_hand = run(spark, products, rows, chunks=4)
+    want, end = loop(products, rows)
+    assert got == want and all(end[k] == v for k, v in on_hand.items())
+    assert sum(large) <= 3
