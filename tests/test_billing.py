@@ -165,3 +165,19 @@ def test_connected_parts_over_many_tasks(spark):
     for size in (10**6, 40):
         assert {r.node: r.part for r in connected(frame, links_per_task=size).collect()} == want
     assert connected(frame.where("false")).count() == 0
+
+
+def test_parts_that_fit_a_turn_are_never_cut(spark, monkeypatch):
+    """Many parts, together more than a turn, each less: all are served at once, and copies of a request count as one."""
+    requests, products = [], []
+    for store in range(6):
+        products += [(f"s{store}", f"p{i}", f"P{i}", Decimal("1"), 3) for i in range(3)]
+        requests += [(f"s{store}", f"k{n}", None, "cash", T0 + dt.timedelta(seconds=n), n, [(f"p{n % 3}", 1), (f"p{(n + 1) % 3}", 1)]) for n in range(9)]
+    labels, real, settle = [], billing.allocate, billing.settle
+    monkeypatch.setattr(billing, "settle", lambda df, label: labels.append(label) or settle(df, label))
+    monkeypatch.setattr(billing, "allocate", lambda *a, **k: real(*a, **k, requests_per_turn=11))
+    result = bill(spark, requests, products)
+    want, stock = loop(requests, products, [], [])
+    assert {(r.store_id, r.seq): (r.outcome, r.reason) for r in result.decisions.collect()} == want
+    assert all(r.quantity_on_hand == stock[r.store_id, r.product_id] for r in result.products.collect())
+    assert labels.count("served") == 1
