@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import advice, focus, hybrid, lexical, sessions, vectors
-from shelfmark.operators.matching import substring_matches
+from shelfmark.operators.matching import _looked_up, substring_matches
 from shelfmark.plans import answers, briefing, marts, reads
+from shelfmark.registry import retrieval_queries
 
 NOW = dt.datetime(2025, 3, 1, 12, 0)
 DAY = dt.timedelta(days=1)
@@ -67,6 +68,46 @@ def test_substring_matches(spark):
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
 
 
+def test_long_numbers_are_looked_up_by_longer_runs(spark):
+    rng = random.Random(8)
+    numbers = sorted({str(rng.randint(1_000_000, 9_999_999)) for _ in range(4000)})
+    asked = sorted({str(rng.randint(100_000, 9_999_999)) for _ in range(200)} | {n[:6] for n in numbers[:20]} | {"123", "45", "98765"})
+    words = spark.createDataFrame([("s", n) for n in numbers], "store_id string, _word string")
+    pieces = spark.createDataFrame([("s", a) for a in asked], "store_id string, _piece string")
+    found = _looked_up(pieces, words).collect()
+    assert sum(len(r._piece) >= 6 for r in found) < 100
+    assert {(r._piece, r._word) for r in found if r._piece in r._word} == {(a, n) for a in asked for n in numbers if a in n}
+
+
+def test_per_text_works_once_on_every_different_text(spark):
+    rng = random.Random(9)
+    texts = ["tell me about red rice", "rice, oil?", "hello there", "", None, "soap bar"]
+    products = spark.createDataFrame([(f"s{n % 2}", f"p{n:03d}", rng.choice(WORDS + ["red rice"] * 9)) for n in range(120)], "store_id string, product_id string, name string")
+    asked = [(f"s{n % 2}", f"q{n % 70}", texts[n % 6 if n < 70 else (n + n // 35) % 6]) for n in range(140)] + [(None, "lost", "red rice"), ("s1", None, "soap bar")]
+    asked = spark.createDataFrame(asked, ASK)
+    seen = []
+
+    def work(some):
+        seen.append(some.count())
+        return focus.product_snapshot(some, products, limit=5).select("store_id", "query_id", "product_id", "focused", "rank")
+
+    got = sorted(map(repr, focus.per_text(asked, work, texts_per_task=3).collect()))
+    want = sorted(map(repr, focus.product_snapshot(asked, products, limit=5).select("store_id", "query_id", "product_id", "focused", "rank").collect()))
+    assert got == want and seen[0] < 70
+
+
+def test_first_rows_of_a_shared_name_come_once_each(spark):
+    """Copies of a row, and other rows of the same name, do not push out rows that should be listed."""
+    rows = [("s", f"p{n:02d}", "red rice") for n in range(9) for _ in range(3)] + [("s", "p90", "rice oil"), ("s", "p005", "brown rice")]
+    asked = spark.createDataFrame([("s", "q", "rice")], ASK)
+    got = focus.product_snapshot(asked, spark.createDataFrame(rows, "store_id string, product_id string, name string"), limit=4).collect()
+    assert sorted((r["rank"], r.product_id, r.focused) for r in got) == [(1, "p00", True), (2, "p005", True), (3, "p01", True), (4, "p02", True)]
+
+
+def test_store_context_reads_the_sold_lines_once(spark, sf):
+    assert not [f for f in retrieval_queries._context(spark, sf).inputFiles() if "lineitem" in f]
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_nearest_same_as_all_pairs(spark, block):
     rng = random.Random(5)
