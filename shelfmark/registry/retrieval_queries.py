@@ -150,8 +150,9 @@ def _(spark, d):
     "customers", "contains(lower(x.name), t) OR contains(x.customer_id, t) OR contains(x.phone, t)",
     "total_spend DESC, visit_count DESC, customer_id", "customer_id", 10))
 def _(spark, d):
-    return focus.customer_snapshot(td.questions(spark, d), td.customers(spark, d)).select(
-        "store_id", "query_id", "customer_id", "focused", "rank")
+    customers = td.customers(spark, d)
+    return focus.per_text(td.questions(spark, d), lambda asked: focus.customer_snapshot(asked, customers).select(
+        "store_id", "query_id", "customer_id", "focused", "rank"))
 
 
 def _matches(spark, d):
