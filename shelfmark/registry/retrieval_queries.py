@@ -468,5 +468,6 @@ LEX = ASKED.format(source="questions") + f""",
  SELECT store_id, query_id, product_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY store_id, query_id ORDER BY o, product_id) AS r
   FROM once) WHERE r <= 8""")
 def _(spark, d):
-    return answers.related_products(settle(_matches(spark, d)), relevant_alerts(td.alerts(spark, d))).select(
-        "store_id", "query_id", "product_id", "rank")
+    products, alerts = td.products(spark, d), relevant_alerts(td.alerts(spark, d))
+    return focus.per_text(td.questions(spark, d), lambda asked: answers.related_products(
+        settle(lexical.best_by_text(asked, products)), alerts).select("store_id", "query_id", "product_id", "rank"))
