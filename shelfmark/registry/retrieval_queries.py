@@ -155,13 +155,9 @@ def _(spark, d):
         "store_id", "query_id", "customer_id", "focused", "rank"))
 
 
-def _matches(spark, d):
-    return lexical.best_by_text(td.questions(spark, d), td.products(spark, d))
-
-
-def _lines(spark, d):
+def _lines(spark, d, heads):
     """Lines with the time of their sale: here the last of its lines' days."""
-    when = _sale_heads(spark, d).select("store_id", "transaction_id", "sale_timestamp")
+    when = heads.select("store_id", "transaction_id", "sale_timestamp")
     return td.items(spark, d).select("store_id", "product_id", "transaction_id").distinct().join(when, ["store_id", "transaction_id"])
 
 
@@ -188,9 +184,13 @@ def _sale_heads(spark, d):
  SELECT store_id, query_id, transaction_id, focused, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY store_id, query_id
   ORDER BY focused DESC, sold_at DESC, transaction_id) AS r FROM once) WHERE r <= 8""")
 def _(spark, d):
-    also = focus.recent_sales_of(settle(_matches(spark, d)), _lines(spark, d), on="product_id", limit=8)
-    return focus.transaction_snapshot(td.questions(spark, d), _sale_heads(spark, d), limit=8, also=also).select(
-        "store_id", "query_id", "transaction_id", "focused", "rank")
+    products, heads = td.products(spark, d), settle(_sale_heads(spark, d), "heads")
+
+    def found(asked):
+        also = focus.recent_sales_of(settle(lexical.best_by_text(asked, products)), _lines(spark, d, heads), on="product_id", limit=8)
+        return focus.transaction_snapshot(asked, heads, limit=8, also=also).select("store_id", "query_id", "transaction_id", "focused", "rank")
+
+    return focus.per_text(td.questions(spark, d), found)
 
 
 RISK = """, r0 AS (SELECT *, CASE WHEN expiry_date IS NULL THEN 'OK' WHEN expiry_date < TIMESTAMP '2001-06-30 00:00:00' THEN 'EXPIRED'
