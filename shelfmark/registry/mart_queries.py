@@ -112,9 +112,9 @@ DASHBOARDS = SALES + PRODUCT_SALES + """, top AS (SELECT * FROM (SELECT store_id
   WHERE rn = 1)"""
 
 
-def _dashboards(spark, d):
+def _dashboards(spark, d, product_sales=None):
     top = (
-        _product_sales(spark, d).groupBy("store_id", "sales_date")
+        (_product_sales(spark, d) if product_sales is None else product_sales).groupBy("store_id", "sales_date")
         .agg(F.max(F.struct("quantity_sold", "product_name", "product_id")).alias("top"))
     )
     zero = F.lit(0).cast("bigint")

@@ -239,7 +239,8 @@ def _freshness(spark, d):
 
 
 def _context(spark, d):
-    return briefing.mart_context(_dashboards(spark, d), _sales(spark, d), _product_sales(spark, d), _summary(spark, d))
+    by_day = settle(_product_sales(spark, d), "product-sales")
+    return briefing.mart_context(_dashboards(spark, d, by_day), _sales(spark, d), by_day, _summary(spark, d))
 
 
 FLOAT = "regexp_replace(CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR), '0$', '')"
