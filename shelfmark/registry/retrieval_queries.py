@@ -370,10 +370,10 @@ def _(spark, d):
         "store_id", "query_id", "answered_by", "operator_answer", "operator_analytics_used", "operator_suffices")
 
 
-def _text_matches(spark, d):
-    """Matches by text alone for all questions; there are no question vectors in the test tables."""
+def _text_matches(spark, d, asked):
+    """Matches by text alone; there are no question vectors in the test tables."""
     none = spark.createDataFrame([], "store_id string, query_id string, product_id string, distance double")
-    return hybrid.hybrid_matches(td.questions(spark, d), td.products(spark, d), none)
+    return hybrid.hybrid_matches(asked, td.products(spark, d), none)
 
 
 NO_MATCH_SQL = _quoted(answers.NO_MATCH)
@@ -413,7 +413,7 @@ DIRECT = f""", m AS (SELECT * FROM (SELECT s.store_id, s.query_id, s.product_id,
 def _(spark, d):
     facts = settle(_facts(spark, d))
     asked = answers.with_intent(td.questions(spark, d))
-    matched = answers.match_facts(_text_matches(spark, d), td.products(spark, d), as_of=AS_OF)
+    matched = focus.per_text(td.questions(spark, d), lambda texts: answers.match_facts(_text_matches(spark, d, texts), td.products(spark, d), as_of=AS_OF))
     rows = answers.direct_answers(asked, matched, briefing.briefings(facts, as_of=AS_OF), facts)
     return answers.finalize_answers(rows.withColumn("answer", F.col("direct_answer"))).select(
         "store_id", "query_id", "intent", "retrieval_confidence", "answer_mode", "route", "refused", "answer")
@@ -429,7 +429,8 @@ def _(spark, d):
   intent IN ('product_lookup', 'reorder_decision') AND c < 0.35 AS refused FROM q""")
 def _(spark, d):
     asked = answers.with_intent(td.questions(spark, d))
-    rows = asked.join(hybrid.confidences(_text_matches(spark, d)), ["store_id", "query_id"])
+    sure = focus.per_text(td.questions(spark, d), lambda texts: hybrid.confidences(_text_matches(spark, d, texts)))
+    rows = asked.join(sure, ["store_id", "query_id"])
     kind, text, sure = F.col("intent"), F.col("query_text"), F.col("confidence")
     return rows.select(
         "store_id", "query_id", F.round("confidence", 3).alias("retrieval_confidence"),
