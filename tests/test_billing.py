@@ -181,3 +181,24 @@ def test_parts_that_fit_a_turn_are_never_cut(spark, monkeypatch):
     assert {(r.store_id, r.seq): (r.outcome, r.reason) for r in result.decisions.collect()} == want
     assert all(r.quantity_on_hand == stock[r.store_id, r.product_id] for r in result.products.collect())
     assert labels.count("served") == 1
+
+
+def test_accepted_requests_are_picked_without_moving_all(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 1 << 33, (1 << 33) + 5, 1 << 40]
+    rows = spark.createDataFrame([(n, f"r{n}") for n in [*numbers, 1]], "request_id long, what string")
+    for wanted in (set(numbers[::2]), set(numbers), {1, 3}, set()):
+        picked = billing.among(rows, spark.createDataFrame([(n,) for n in wanted], "request_id long"))
+        assert sorted(r.request_id for r in picked.collect()) == sorted(n for n in [*numbers, 1] if n in wanted)
+        assert "Exchange hashpartitioning" not in picked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_links_are_left_after_a_part_of_them(spark, monkeypatch):
+    """Of a dense graph nearly all links lie within the parts that a quarter of them makes."""
+    from shelfmark.operators import components
+
+    sizes, settle = [], components.settle
+    monkeypatch.setattr(components, "settle", lambda df, label: (made := settle(df, label), sizes.append(made.count()) if label == "links" else None)[0])
+    links = [(u, 1000 + v) for u in range(60) for v in range(60)]
+    frame = spark.createDataFrame(links, "u long, v long")
+    assert {r.part for r in components.connected(frame, links_per_task=100).collect()} == {0}
+    assert sizes[0] == 3600 and sum(sizes[1:]) < 2000
