@@ -27,33 +27,44 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(line, _BLANK), lambda w: w != "")
 
 
-def _hash(words: Column) -> Column:
+def even(line: Column) -> Column:
+    """The words of a line joined by one blank. Most lines stand like that already and need not be cut."""
+    return F.when(line.rlike(r"[\x09-\x0D]|^\x20|\x20(?:\x20|$)"), F.array_join(words_of(line), " ")).otherwise(line)
+
+
+def _count(text: Column) -> Column:
+    """How many words an evened line has."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
+def _front(text: Column, n: Column) -> Column:
+    """The first n words of an evened line; the last ones if n is negative."""
+    return F.call_function("substring_index", text, F.lit(" "), n)
+
+
+def _hash(text: Column) -> Column:
     """128 bits of a run of words."""
-    text = F.array_join(words, " ")
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def _halves(words: Column, n: Column) -> Column:
+def _halves(text: Column, n: Column) -> Column:
     """Keys of the front and back half, for pairs whose shorter line has n words and n - 1."""
     keys = []
     for less in (0, 1):
         half = F.floor((n - less) / 2).cast("int")
-        keys += [F.xxhash64(n - less, F.lit(0), F.array_join(F.slice(words, 1, half), " ")), F.xxhash64(n - less, F.lit(1), F.array_join(F.slice(words, n - half + 1, half), " "))]
+        keys += [F.xxhash64(n - less, F.lit(0), _front(text, half)), F.xxhash64(n - less, F.lit(1), _front(text, -half))]
     return F.array(*keys)
 
 
-def _parts(words: Column) -> Column:
-    """A key of each of up to PARTS parts: all the words but that part, for a shorter line of n words (less 0) or n - 1 (less 1)."""
-    n = F.size(words)
-    made = []
-    for less in (0, 1):
-        m = n - less
-        for k in range(PARTS):
-            low, high = F.floor(m * k / PARTS).cast("int"), F.floor(m * (k + 1) / PARTS).cast("int")
-            rest = m - high
-            key = F.xxhash64(m, low, high, F.array_join(F.slice(words, 1, low), " "), F.lit("|"), F.array_join(F.slice(words, n - rest + 1, rest), " "))
-            made.append(F.when(low < high, F.struct(F.lit(less).alias("less"), low.alias("low"), high.alias("high"), key.alias("key"))))
-    return F.filter(F.array(*made), lambda p: p.isNotNull())
+def _parts(known: DataFrame) -> DataFrame:
+    """(line, less, low, high, key): a key of each of up to PARTS parts of an evened line, all the words but that part, for a
+    shorter line of n words (less 0) or n - 1 (less 1)."""
+    at, m = F.col("at"), F.col("n") - F.col("less")
+    cut = known.select("line", "text", "n", F.explode(F.sequence(F.lit(0), F.lit(2 * PARTS - 1))).alias("at"))
+    cut = cut.withColumn("less", F.floor(at / PARTS).cast("int"))
+    cut = cut.withColumn("low", F.floor(m * (at % PARTS) / PARTS).cast("int")).withColumn("high", F.floor(m * (at % PARTS + 1) / PARTS).cast("int"))
+    key = F.xxhash64(m, "low", "high", _front(F.col("text"), F.col("low")), F.lit("|"), _front(F.col("text"), F.col("high") - m))
+    return cut.where("low < high").select("line", "less", "low", "high", key.alias("key"))
 
 
 def line_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,10 +82,10 @@ def within_one(a: Column, b: Column) -> Column:
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
     """(id, key, at): the places of the lines that stay."""
-    places = line_places(docs, id_col, text_col).withColumn("words", words_of(F.col("line")))
+    places = line_places(docs, id_col, text_col).withColumn("text", even(F.col("line"))).withColumn("n", _count(F.col("text")))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "key", "at").alias("place")
-    n = F.size("words")
-    classes = places.select(_hash(F.col("words")).alias("line"), first, F.when(n >= least_words - 1, _halves(F.col("words"), n)).alias("halves"))
+    n = F.col("n")
+    classes = places.select(_hash(F.col("text")).alias("line"), first, F.when(n >= least_words - 1, _halves(F.col("text"), n)).alias("halves"))
     classes = settle(classes.groupBy("line").agg(F.min("place").alias("place"), F.first("halves").alias("halves")), "lines")
 
     half = classes.where("halves is not null").select("line", F.explode(F.array_distinct("halves")).alias("half"))
@@ -88,14 +99,14 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = settle(known.groupBy("line").agg(F.first("place").alias("place"), F.first("words").alias("words")), "known")
 
     # a line also has to share all but one part with another: variants lack a word of that part
-    part = known.select("line", F.explode(_parts(F.col("words"))).alias("p")).select("line", "p.*")
+    part = _parts(known.select("line", F.array_join("words", " ").alias("text"), F.size("words").alias("n")))
     met = part.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     parts = part.join(met, "key", "left_semi").groupBy("line").agg(F.collect_set(F.struct("less", "low", "high")).alias("parts"))
     cut = known.join(parts, "line").select("line", "place", "words", F.explode("parts").alias("p"))
     size = F.size("words")
     gaps = F.when(size >= least_words, F.sequence(F.col("p.low") + 1, F.col("p.high") + F.col("p.less"))).otherwise(F.array().cast("array<int>"))
     kind = F.when(F.col("p.less") == 0, "replaced").otherwise("shorn")
-    shorn = F.transform(gaps, lambda i: F.struct(kind.alias("kind"), i.alias("gap"), _hash(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, size))).alias("variant")))
+    shorn = F.transform(gaps, lambda i: F.struct(kind.alias("kind"), i.alias("gap"), _hash(F.array_join(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, size)), " ")).alias("variant")))
     whole = F.array(F.struct(F.lit("whole").alias("kind"), F.lit(0).alias("gap"), F.col("line").alias("variant")))
     variants = cut.select("line", "place", F.explode(F.when(F.col("p.less") == 0, F.concat(whole, shorn)).otherwise(shorn)).alias("v")).select("line", "place", "v.*")
     variants = settle(variants.distinct(), "variants")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import brute
 import public_tokenizers
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from shelfmark.llm import contamination, lines, private, queries, sentence_pieces, similar, simhash, substrings, token_counts
 from shelfmark.registry import QUERIES
@@ -357,3 +358,14 @@ def test_similar_large_group(spark):
     root = brute.groups(len(rows), lambda a, b: _alike(sets[a], sets[b]) >= 0.8)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in similar.drop_similar(docs).collect()} == set(root)
+
+
+def test_evened_lines_hold_the_words_of_the_line(spark):
+    """Front, back and number of words of a line come from its evened text, without cutting most lines into arrays."""
+    odd = ["a b c d e", "  a  b\tc ", "x  y ", "ä b c", "one", " \u0085 q\x0bz", "w " * 40, " ".join("abcdefghijklmnopqrs"), "e f  "]
+    text = lines.even(F.col("line"))
+    rows = spark.createDataFrame([(x,) for x in odd], "line string").select("line", text.alias("text"), lines._count(text).alias("n"))
+    made = rows.select("*", lines._front(F.col("text"), F.col("n") - 1).alias("front"), lines._front(F.col("text"), 1 - F.col("n")).alias("back"))
+    for r in made.collect():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", r.line) if w]
+        assert (r.text, r.n, r.front, r.back) == (" ".join(words), len(words), " ".join(words[:-1]), " ".join(words[1:]))
