@@ -96,5 +96,4 @@ def load_window(warehouse: Warehouse, source, since, until) -> dict[str, Written
 
     The counts come from the written files. Loading a window again changes nothing.
     """
-    with warehouse.transaction():
-        return {name: warehouse.upsert(name, frame) for name, frame in shape_window(source, since, until).items()}
+    return warehouse.upsert_all(shape_window(source, since, until))

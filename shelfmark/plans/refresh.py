@@ -48,19 +48,15 @@ def refresh_marts(warehouse: Warehouse, *, as_of, run_id: str, window: tuple | N
 
 def _refresh(warehouse: Warehouse, as_of, run_id: str, window, touched, customers_since, stamps) -> None:
     read = warehouse.read
-    sales = marts.sales_daily(_whole_days(warehouse, "transactions_raw", touched), refreshed_at=as_of)
-    warehouse.upsert("sales_daily", sales, check_keys=False)
-    products = marts.product_sales_daily(_whole_days(warehouse, "transaction_items_raw", touched), refreshed_at=as_of)
-    warehouse.upsert("product_sales_daily", products, check_keys=False)
     people = read("customers_raw")
     if customers_since is not None:
         people = people.where(F.col("captured_at") >= instant(customers_since))
-    warehouse.upsert("customer_summary", marts.customer_summary(people, refreshed_at=as_of), check_keys=False)
-    warehouse.upsert(
-        "inventory_health",
-        marts.inventory_health(read("inventory_snapshot_raw"), as_of=as_of, refreshed_at=as_of, tie=["snapshot_id"]),
-        check_keys=False,
-    )
+    warehouse.upsert_all({
+        "sales_daily": marts.sales_daily(_whole_days(warehouse, "transactions_raw", touched), refreshed_at=as_of),
+        "product_sales_daily": marts.product_sales_daily(_whole_days(warehouse, "transaction_items_raw", touched), refreshed_at=as_of),
+        "customer_summary": marts.customer_summary(people, refreshed_at=as_of),
+        "inventory_health": marts.inventory_health(read("inventory_snapshot_raw"), as_of=as_of, refreshed_at=as_of, tie=["snapshot_id"]),
+    }, check_keys=False)
     today = F.col("sales_date") == day_of(as_of)
     dashboard = marts.dashboard_summary(
         read("sales_daily").where(today), read("product_sales_daily").where(today),

@@ -35,8 +35,7 @@ def shape_store_windows(source: dict[str, DataFrame], windows: DataFrame) -> dic
 
 def load_store_windows(warehouse: Warehouse, source: dict[str, DataFrame], windows: DataFrame) -> dict[str, Written]:
     """The five raw tables, in one version."""
-    with warehouse.transaction():
-        return {name: warehouse.upsert(name, frame) for name, frame in shape_store_windows(source, windows).items()}
+    return warehouse.upsert_all(shape_store_windows(source, windows))
 
 
 def read_counts(source: dict[str, DataFrame], windows: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +50,38 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Session and name of each setting held, with the number of holders and the value before.
+_HELD: dict[tuple, list] = {}
+_HELD_LOCK = threading.Lock()
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a block. Jobs that run at the same time share them; the last one to
+    leave puts back what was there."""
+    with _HELD_LOCK:
+        for name, value in values.items():
+            _HELD.setdefault((spark._jsparkSession, name), [0, spark.conf.get(name, None)])[0] += 1
+            spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        with _HELD_LOCK:
+            for name in values:
+                held = _HELD[spark._jsparkSession, name]
+                held[0] -= 1
+                if held[0] == 0:
+                    before = _HELD.pop((spark._jsparkSession, name))[1]
+                    spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def at_most(spark: SparkSession, name: str, size: str) -> str:
+    """``size``, or the session's own value of ``name`` if that is smaller."""
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    own = spark.conf.get(name)
+    return own if as_bytes(own) <= as_bytes(size) else size
+
+
 def in_utc(spark: SparkSession) -> SparkSession:
     """Dates here are UTC days; a caller's session may say otherwise."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -84,12 +119,8 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, {_CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     settled = spark.read.schema(df.schema).parquet(path)
     settled.settled_path = path
     return settled

@@ -12,15 +12,18 @@ commit. A job lost before the commit has changed nothing, also where it writes s
 from __future__ import annotations
 
 import contextlib
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from shelfmark.schemas import TABLES
-from shelfmark.session import settle
+from shelfmark.session import at_most, settings, settle
 from shelfmark.sources.versions import Change, Content, Versions, commit
 
 
@@ -103,6 +106,14 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], *, kee
     return kept.unionByName(source.select(*columns))
 
 
+#: What a task of a merge takes in, as shuffled, and what a join may send to all tasks, as stored. Keys of a table's
+#: files take some forty times their stored size in a task's memory.
+_MERGE_SIZES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.autoBroadcastJoinThreshold": "1m",
+}
+
+
 class Written:
     """How many rows an upsert was given, per store and in all."""
 
@@ -126,6 +137,7 @@ class Warehouse:
         self.spark, self.root, self.pinned = spark, root.rstrip("/"), version
         self.versions = Versions(spark, self.root)
         self._open: Change | None = None
+        self._lock = threading.Lock()
 
     # --- versions
 
@@ -141,7 +153,8 @@ class Warehouse:
     def _content(self) -> Content:
         """What the tables are made of, as this reader or this open transaction sees it."""
         stored = self.versions.content(self._base())
-        return self._open.on(stored) if self._open else stored
+        with self._lock:
+            return self._open.on(stored) if self._open else stored
 
     @contextlib.contextmanager
     def transaction(self) -> Iterator[None]:
@@ -163,7 +176,8 @@ class Warehouse:
         if self.pinned is not None:
             raise ValueError("a reader of one version cannot write")
         if self._open:
-            self._open.join(change)
+            with self._lock:
+                self._open.join(change)
         else:
             commit(self.versions, change)
 
@@ -230,7 +244,9 @@ class Warehouse:
         paths = [self._folder(name, run, value) for value, runs in sorted(wanted.items()) for run in runs]
         schema = self._stored_schema(name)
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            # A range that the optimizer sees to be empty: what reads or joins it is left out of the plan.
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+            return self.spark.range(1).where(F.lit(False)).select(*nothing)
         rows = self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*paths)
         return rows.select(*schema.fieldNames())
 
@@ -305,16 +321,32 @@ class Warehouse:
         ``run_id`` names the run: after a failure the upsert can simply be repeated, or, if it had come as
         far as committing, be finished by :meth:`publish`.
         """
-        layout = LAYOUTS[name]
         run_id = run_id or uuid.uuid4().hex
         change = Change(self._base())
         given = [f.name for f in self.schema(name).fields if f.name in rows.columns]
         # The source plan runs once; the key check, the touched folders and the merge read its result.
         self._stage(self._conform(name, rows), run_id, f"{name}_given")
-        source = self._staged(name, run_id, f"{name}_given")
+        with settings(self.spark, {key: at_most(self.spark, key, size) for key, size in _MERGE_SIZES.items()}):
+            self._merge(name, given, run_id, change, check_keys=check_keys, newest_by=newest_by)
+        self.publish(name, run_id)
+        # Counted from the store column of the files just written, not by running the source again.
+        counts = settle(self._staged(name, run_id, f"{name}_given").groupBy("store_id").agg(F.count(F.lit(1)).alias("rows")), "counts")
+        self.clear_staging(run_id, name)
+        return Written(counts)
+
+    def upsert_all(self, frames: dict[str, DataFrame], *, check_keys: bool = True) -> dict[str, Written]:
+        """Upsert into several tables in one version, all at the same time: the small jobs of one leave most of a cluster idle."""
+        with self.transaction():
+            with ThreadPoolExecutor(len(frames)) as pool:
+                begun = {name: pool.submit(inheritable_thread_target(self.spark)(self.upsert), name, rows, check_keys=check_keys) for name, rows in frames.items()}
+            return {name: job.result() for name, job in begun.items()}
+
+    def _merge(self, name: str, given: list[str], run_id: str, change: Change, *, check_keys: bool, newest_by: str | None) -> None:
+        """Write the folders that the staged rows of an upsert fall in anew, and note in ``change`` which they are."""
+        layout, source = LAYOUTS[name], self._staged(name, run_id, f"{name}_given")
         if check_keys:
-            twice = source.groupBy(*layout.keys).count().where("count > 1").limit(1)
-            if not twice.isEmpty():
+            # All keys are counted at once; looking for one that is there twice would go through them part by part.
+            if (source.groupBy(*layout.keys).count().agg(F.max("count")).first()[0] or 0) > 1:
                 raise DuplicateKeys(f"{name}: a key occurs more than once in the rows to upsert")
         folders, column = set(self.folders_of(name, source)), layout.partition_column
         if layout.may_move:
@@ -339,11 +371,6 @@ class Warehouse:
         out = fs.create(path, True)
         out.write(bytearray(change.as_json().encode()))
         out.close()
-        self.publish(name, run_id)
-        # Counted from the store column of the files just written, not by running the source again.
-        counts = settle(self._staged(name, run_id, f"{name}_given").groupBy("store_id").agg(F.count(F.lit(1)).alias("rows")), "counts")
-        self.clear_staging(run_id, name)
-        return Written(counts)
 
     def clear_staging(self, run_id: str, name: str) -> None:
         for leaf in (f"{name}.change", f"{name}_given"):
