@@ -20,10 +20,20 @@ from shelfmark.streaming import feed, sales, stateful
 FOREVER = "4000 days"
 
 
+#: Bytes of input that go into one file of a slice.
+FILE_BYTES = 4 << 20
+
+
+def _input_bytes(rows: DataFrame) -> int:
+    spark = rows.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in rows.inputFiles()]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+
+
 def _slices(rows: DataFrame, label: str, n: int = 4):
-    """``rows`` as a stream of ``n`` slices, each of as many files as tasks run at once."""
+    """``rows`` as a stream of ``n`` slices, each of as many files as tasks run at once, or more if they would get large."""
     spark = rows.sparkSession
-    folder, each = scratch_path(spark, label), spark.sparkContext.defaultParallelism
+    folder, each = scratch_path(spark, label), max(spark.sparkContext.defaultParallelism, -(-_input_bytes(rows) // (n * FILE_BYTES)))
     rows.repartition(n * each).write.parquet(folder)
     return lambda slices: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", slices * each).parquet(folder)
 

@@ -17,6 +17,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -114,6 +116,15 @@ _MERGE_SIZES = {
 }
 
 
+def merge_newer(target: DataFrame, source: DataFrame, keys: Sequence[str], newest_by: str, *, keep_stored: Sequence[str] = ()) -> DataFrame:
+    """:func:`merge_rows`, but a row of ``source`` gives way to one of equal key that is later in ``newest_by``."""
+    given = source.select(F.lit(True).alias("_given"), *[F.col(c).alias(f"_given_{c}") for c in source.columns])
+    both = target.join(given, reduce(and_, [F.col(k) == F.col(f"_given_{k}") for k in keys]), "full")
+    later = F.col(newest_by).isNull() | F.coalesce(F.col(f"_given_{newest_by}") >= F.col(newest_by), F.lit(False))
+    wins = F.coalesce(F.col("_given") & later, F.lit(False))
+    return both.select(*[F.col(c) if c in keep_stored else F.when(wins, F.col(f"_given_{c}")).otherwise(F.col(c)).alias(c) for c in target.columns])
+
+
 class Written:
     """How many rows an upsert was given, per store and in all."""
 
@@ -354,14 +365,11 @@ class Warehouse:
             homes = self._read_stored(name).join(source.select(*layout.keys), list(layout.keys), "left_semi").select(column).distinct()
             folders |= {r[0] for r in homes.collect()}
         touched = self._read_stored(name, sorted(folders))
-        if newest_by is not None:
-            stored = touched.select(*layout.keys, F.col(newest_by).alias("_stored_at"))
-            given_later = source.join(stored, list(layout.keys), "left").where(
-                F.col("_stored_at").isNull() | F.coalesce(F.col(newest_by) >= F.col("_stored_at"), F.lit(False)))
-            source = given_later.select(*source.columns)
         missing = [f.name for f in self.schema(name).fields if f.name not in given]
         columns = self._stored_schema(name).fieldNames()
-        merged = merge_rows(touched.select(*columns), source, layout.keys, keep_stored=missing)
+        touched = touched.select(*columns)
+        merged = merge_rows(touched, source, layout.keys, keep_stored=missing) if newest_by is None else merge_newer(
+            touched, source, layout.keys, newest_by, keep_stored=missing)
         run = f"{run_id}-{uuid.uuid4().hex[:8]}"  # files of a committed run stay as they are if the upsert is repeated
         filled = set(self._write(name, merged, run)) if folders else set()
         change.read.add(name)
