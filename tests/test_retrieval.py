@@ -301,3 +301,16 @@ def test_same_day_rename_gives_one_row(spark):
                                   "store_id string, product_id string, product_name string, quantity bigint, line_total decimal(18,2), sale_timestamp timestamp")
     row = marts.product_sales_daily(items).collect()
     assert [(r.product_name, r.quantity_sold, r.revenue) for r in row] == [("Old", 3, Decimal("3.00"))]
+
+
+def test_evidence_pack_sends_no_more_than_a_megabyte_to_every_task(spark, sf, monkeypatch):
+    from shelfmark.registry import QUERIES, retrieval_queries
+
+    limits, settle = [], retrieval_queries.settle
+    monkeypatch.setattr(retrieval_queries, "settle", lambda df, *a: (limits.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")), settle(df, *a))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    packs = QUERIES["evidence_pack"](spark, sf)
+    # The caller runs what is returned under a limit of its own, so no join is left in it.
+    assert set(limits) == {"1m"} and "Join" not in packs._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert packs.count() > 0 and packs.where("evidence is null").count() == 0
