@@ -202,3 +202,34 @@ def test_few_links_are_left_after_a_part_of_them(spark, monkeypatch):
     frame = spark.createDataFrame(links, "u long, v long")
     assert {r.part for r in components.connected(frame, links_per_task=100).collect()} == {0}
     assert sizes[0] == 3600 and sum(sizes[1:]) < 2000
+
+
+def test_products_listed_twice_are_added_up_and_others_taken_as_they_are(spark):
+    items = [[("a", 3), ("b", 1), ("a", 4)], [("a", 2), ("b", 5)]]
+    requests = spark.createDataFrame([("s", f"k{i}", None, "cash", T0, i, lines) for i, lines in enumerate(items)], REQ)
+    products = spark.createDataFrame([("s", "a", "A", Decimal(1), 8), ("s", "b", "B", Decimal(1), 9)], PROD)
+    result = billing.bill(requests, products, spark.createDataFrame([], CUST), spark.createDataFrame([], IDEM))
+    assert [(r.seq, r.outcome) for r in result.decisions.orderBy("seq").collect()] == [(0, "ACCEPTED"), (1, "REJECTED")]
+    assert {r.product_id: r.quantity_on_hand for r in result.products.collect()} == {"a": 1, "b": 8}
+
+
+def test_lines_without_a_product_or_a_quantity_are_refused_without_a_function_per_line(spark):
+    from shelfmark.functions.validate import VIOLATIONS, sale_rules, split_valid
+
+    lines = [[("a", 1)], [], None, [("a", None)], [(None, 1)], [("", 1)], [("a", 0), ("b", 2)], [("a", 1), None], [("a", 2), ("b", 1)]]
+    requests = spark.createDataFrame([("s", f"k{i}", None, "cash", T0, i, given) for i, given in enumerate(lines)], REQ)
+    valid, invalid = split_valid(requests, sale_rules())
+    assert sorted(r.seq for r in valid.collect()) == [0, 8]
+    wrong = "items: product_id and a quantity of at least 1 in every line"
+    assert {r.seq: r[VIOLATIONS] for r in invalid.collect()} == {i: ["items: at least one line"] if i in (1, 2) else [wrong] for i in range(1, 8)}
+    assert "lambda" not in valid._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_billed_request_is_gathered_from_rows_that_have_moved(spark, monkeypatch):
+    plans, settle = {}, billing.settle
+    monkeypatch.setattr(billing, "settle", lambda df, label: (plans.setdefault(label, df._jdf.queryExecution().toString()), settle(df, label))[1])
+    requests = spark.createDataFrame([("s", "k", None, "cash", T0, 1, [("a", 3)])], REQ)
+    products = spark.createDataFrame([("s", "a", "A", Decimal(1), 2)], PROD)
+    result = billing.bill(requests, products, spark.createDataFrame([], CUST), spark.createDataFrame([], IDEM))
+    assert [r.outcome for r in result.decisions.collect()] == ["REJECTED"]
+    assert "ObjectHashAggregate" not in "".join(plans.values()) and "lambda" not in plans["requests"]
