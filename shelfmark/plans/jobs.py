@@ -37,8 +37,7 @@ def _of_products(products: DataFrame) -> DataFrame:
 def _write_alerts(warehouse: Warehouse, changes) -> None:
     # Both come from the same decisions; written down, these are made once.
     alerts, events = settle(changes.alerts, "alerts"), settle(changes.events, "alert-events")
-    warehouse.upsert("alerts", alerts, check_keys=False)
-    warehouse.upsert("alert_events", events, check_keys=False)
+    warehouse.upsert_all({"alerts": alerts, "alert_events": events}, check_keys=False)
 
 
 # --- jobs --------------------------------------------------------------------------------------
@@ -51,16 +50,13 @@ def sell(warehouse: Warehouse, requests: DataFrame, *, as_of, created_by: str =
         result = billing.bill(requests, warehouse.read("products"), warehouse.read("customers"), warehouse.read("idempotency"), created_by=created_by)
         decisions = settle(result.decisions, "decisions")
         written = settle(result.transactions, "transactions")
-        warehouse.upsert("transactions", written, check_keys=False)
         more = settle(demand.day_units(_lines(written)), "demand")
         stored = warehouse.read("demand_days", folders=warehouse.folders_of("demand_days", more))
-        warehouse.upsert("demand_days", demand.with_more(stored, more), check_keys=False)
-        warehouse.upsert("stock_adjustments", result.adjustments, check_keys=False)
         sold = settle(result.products, "sold")
-        warehouse.upsert("products", sold, check_keys=False)
-        warehouse.upsert("customers", result.customers, check_keys=False)
-        warehouse.upsert("idempotency", result.idempotency, check_keys=False)
-        warehouse.upsert("followups", _followups(_of_products(sold), AFTER_SALE, as_of=as_of), check_keys=False)
+        warehouse.upsert_all({
+            "transactions": written, "demand_days": demand.with_more(stored, more), "stock_adjustments": result.adjustments, "products": sold,
+            "customers": result.customers, "idempotency": result.idempotency, "followups": _followups(_of_products(sold), AFTER_SALE, as_of=as_of),
+        }, check_keys=False)
     return decisions
 
 
