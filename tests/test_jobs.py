@@ -145,3 +145,12 @@ def test_raw_load_is_one_version(spark, source, tmp_path):  # noqa: F811
     assert not warehouse.exists("transactions_raw") and warehouse.versions.all() == []
     raw_load.load_window(warehouse, source, T0, T0 + dt.timedelta(days=3))
     assert warehouse.versions.all() == [1] and warehouse.read("transactions_raw").count() == 3
+
+
+def test_a_batch_of_sales_writes_its_tables_at_the_same_time(spark, shop, monkeypatch):
+    together, real = [], Warehouse.upsert_all
+    monkeypatch.setattr(Warehouse, "upsert_all", lambda self, frames, **k: (together.append(set(frames)), real(self, frames, **k))[1])
+    jobs.sell(shop, request(spark, ("k1", "c1", 1, [("a", 7)])), as_of=NOW)
+    jobs.run_followups(shop, jobs.handlers(as_of=NOW), as_of=NOW)
+    assert together == [{"transactions", "demand_days", "stock_adjustments", "products", "customers", "idempotency", "followups"}, {"alerts", "alert_events"}]
+    assert alerts_of(shop) == [("LOW_STOCK_a", "ACTIVE", "HIGH")] and shop.read("idempotency").count() == 1
